@@ -424,10 +424,9 @@ def _synonym_cases() -> str:
 
 
 _WORD = r"[\p{L}\p{M}\p{N}_]"
-_CONTEXT = (
-    "right(array_to_string(parts[1:i], lower(claim)), 30) || lower(claim) || "
-    "left(array_to_string(parts[i + 1:], lower(claim)), 30)"
-)
+_BEFORE = "list_reduce(parts[1:i], lambda x, y: x || lower(claim) || y)"
+_AFTER = "list_reduce(parts[i + 1:], lambda x, y: x || lower(claim) || y)"
+_CONTEXT = f"right({_BEFORE}, 30) || lower(claim) || left({_AFTER}, 30)"
 
 ANSWER_SQL = f"""
 answers AS (
@@ -453,8 +452,8 @@ term_hits AS (
 claim_hits AS (
   SELECT conv_id, turn, ord, claim,
     len(list_filter(range(1, len(parts)), lambda i:
-      NOT regexp_matches(right(array_to_string(parts[1:i], lower(claim)), 1), '{_WORD}')
-      AND NOT regexp_matches(left(array_to_string(parts[i + 1:], lower(claim)), 1), '{_WORD}')
+      NOT regexp_matches(right({_BEFORE}, 1), '{_WORD}')
+      AND NOT regexp_matches(left({_AFTER}, 1), '{_WORD}')
       AND NOT list_bool_or(list_transform({sql_list(NEGATIONS)},
                                           lambda g: contains({_CONTEXT}, g))))) > 0 AS hit
   FROM (SELECT conv_id, turn, unnest(forbidden) AS claim,

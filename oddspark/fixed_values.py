@@ -19,8 +19,10 @@ SERIOUS_OUTCOMES = ["DE", "LT", "HO", "DS", "CA"]
 # Patterns removed from a product name, in this order (Java syntax, Unicode classes).
 NAME_PARENTHESES = r"\([^)]*\)"
 NAME_DOSAGE = r"(?U)\d+(\.\d+)?\s*(mg|mcg|g|ml|units?|iu|%)\b"
+# The formulation words start with one of the letters named first, which spares most positions.
 NAME_FORMULATION = (
-    r"(?U)\b(injection|inj|tablet|tab|capsule|cap|solution|sol|suspension|susp|"
+    r"(?U)(?=[itcsopxe])"
+    r"\b(?:injection|inj|tablet|tab|capsule|cap|solution|sol|suspension|susp|"
     r"cream|ointment|patch|xr|er|sr|cr)\b"
 )
 NAME_SPACES = r"(?U)\s+"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from oddspark import fixed_values as V
 from oddspark.functions.names import drug_key
+from oddspark.operators.once import computed_once
 
 
 def dedupe_latest_version(demo: DataFrame, scope: str = "quarter") -> DataFrame:
@@ -56,7 +57,7 @@ def distinct_pairs(child: DataFrame, item: Column, name: str) -> DataFrame:
     most one row per item of the vocabulary.
     """
     key = report_key(child)
-    pairs = child.select(*key, item.alias(name))
+    pairs = computed_once(child, {name: item}).select(*key, name)
     return pairs.filter(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
 
 

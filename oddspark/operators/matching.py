@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddspark.functions.names import first_variant_in, normalize_drug_name
+from oddspark.operators.once import computed_once
 
 # Variants up to this number become part of the expression; more are joined.
 INLINE_VARIANTS = 200
@@ -20,7 +21,7 @@ def add_class_member(
     """
     ordered = matcher.orderBy("dict_pos", "name_pos").select("variant", "active")
     rows = ordered.limit(inline_variants + 1).collect()
-    named = drug.withColumns({
+    named = computed_once(drug, {
         "_drugname": normalize_drug_name(F.col("drugname")),
         "_prod_ai": normalize_drug_name(F.col("prod_ai")),
     })

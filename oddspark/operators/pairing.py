@@ -22,10 +22,7 @@ def join_within(
     a large key spreads over as many tasks as it has cells; a key below ``cell_rows`` is one
     cell, with no copies. Keys found on one side only leave before the deal.
     """
-    cells = (
-        _blocks(left, key, "_left_cells", cell_rows)
-        .join(_blocks(right, key, "_right_cells", cell_rows), key)
-    )
+    cells = _cells_per_key(left, right, key, cell_rows)
     dealt_left = (
         left.join(cells, key)
         .withColumn("_left_cell", _deal(left_item, "_left_cells"))
@@ -43,9 +40,25 @@ def join_within(
     )
 
 
-def _blocks(df: DataFrame, key: list[str], name: str, cell_rows: int) -> DataFrame:
-    size = F.ceil(F.count(F.lit(1)) / cell_rows).cast("int")
-    return df.groupBy(*key).agg(size.alias(name))
+def _cells_per_key(
+    left: DataFrame, right: DataFrame, key: list[str], cell_rows: int
+) -> DataFrame:
+    """Cells per side for every key found on both sides, from one count over both."""
+    def rows(df: DataFrame, n_left: int, n_right: int) -> DataFrame:
+        return df.select(*key, F.lit(n_left).alias("n_left"), F.lit(n_right).alias("n_right"))
+
+    def cells(count: str) -> Column:
+        return F.ceil(F.col(count) / cell_rows).cast("int")
+
+    sizes = (
+        rows(left, 1, 0)
+        .unionByName(rows(right, 0, 1))
+        .groupBy(*key)
+        .agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    )
+    return sizes.filter("n_left > 0 and n_right > 0").select(
+        *key, cells("n_left").alias("_left_cells"), cells("n_right").alias("_right_cells")
+    )
 
 
 def _deal(item: str, cells: str) -> Column:

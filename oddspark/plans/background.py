@@ -95,7 +95,8 @@ def write_background(
 
     The valid reports and the two tables of distinct pairs each feed several of the results, so
     they are written to the shared folder once. Re-running replaces the tables, and only the
-    quarters that the input holds.
+    quarters that the input holds. Rows are gathered by quarter before the write, large quarters
+    split and small ones joined, so that the number of files follows the size of the result.
     """
     spark = demo.sparkSession
     valid = materialize(valid_reports(demo, scope), "valid-reports")
@@ -110,6 +111,7 @@ def write_background(
     for table in TABLES:
         (
             getattr(results, table)
+            .hint("rebalance", "faers_quarter")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("faers_quarter")
