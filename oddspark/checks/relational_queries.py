@@ -43,8 +43,8 @@ def _(star):
 SELECT primaryid, drug_key, event_pt, faers_quarter
 FROM drug_pairs JOIN event_pairs USING (primaryid) JOIN latest USING (primaryid)""")
 def _(star):
-    _, drugs, events = B.valid_pairs(star.demo_core, star.drug, star.reac)
-    pairs = B.cooccurring_pairs(drugs, events, ["primaryid"])
+    valid = E1.valid_reports(star.demo_core)
+    pairs = B.cooccurring_pairs(E1.report_drugs(star.drug), E1.report_events(star.reac), valid)
     return pairs.select("primaryid", "drug_key", "event_pt", "faers_quarter")
 
 

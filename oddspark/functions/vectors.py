@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 def dot(u: Column, v: Column) -> Column:
     """Dot product in double precision."""
-    products = F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double"))
+    wide = (u.cast("array<double>"), v.cast("array<double>"))
+    products = F.zip_with(*wide, lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 

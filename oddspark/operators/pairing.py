@@ -14,6 +14,7 @@ def join_within(
     left_item: str,
     right_item: str,
     cell_rows: int = CELL_ROWS,
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join of two many-rows-per-key tables.
 
@@ -21,8 +22,15 @@ def join_within(
     grid of about (m / cell_rows) x (n / cell_rows) cells, and the join runs on key and cell. So
     a large key spreads over as many tasks as it has cells; a key below ``cell_rows`` is one
     cell, with no copies. Keys found on one side only leave before the deal.
+
+    ``per_key`` holds one row for each key to keep. It travels with the cell counts and adds its
+    columns to the result, which spares the two sides a join with it.
     """
     cells = _cells_per_key(left, right, key, cell_rows)
+    carried: list[str] = []
+    if per_key is not None:
+        carried = [c for c in per_key.columns if c not in key]
+        cells = cells.join(per_key, key)
     dealt_left = (
         left.join(cells, key)
         .withColumn("_left_cell", _deal(left_item, "_left_cells"))
@@ -30,7 +38,7 @@ def join_within(
         .drop("_left_cells", "_right_cells")
     )
     dealt_right = (
-        right.join(cells, key)
+        right.join(cells.drop(*carried), key)
         .withColumn("_right_cell", _deal(right_item, "_right_cells"))
         .withColumn("_left_cell", _each("_left_cells"))
         .drop("_left_cells", "_right_cells")

@@ -26,7 +26,7 @@ class Background:
     drug_event_counts: DataFrame
 
 
-def _in_valid_reports(pairs: DataFrame, valid: DataFrame) -> DataFrame:
+def in_valid_reports(pairs: DataFrame, valid: DataFrame) -> DataFrame:
     """Pairs of deduplicated reports, with the quarter of the report."""
     if "faers_quarter" in pairs.columns:
         return restrict_to_valid(pairs, valid)
@@ -49,42 +49,43 @@ def event_totals(events: DataFrame) -> DataFrame:
     return _n_reports(events, "event_pt", "faers_quarter")
 
 
-def cooccurring_pairs(drugs: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
-    """Every (drug, event) pair of every report."""
-    return join_within(drugs, events.select(*key, "event_pt"), key, "drug_key", "event_pt")
+def cooccurring_pairs(drugs: DataFrame, events: DataFrame, valid: DataFrame) -> DataFrame:
+    """Every (drug, event) pair of every valid report, with the quarter of the report."""
+    key = _shared_key(drugs, events)
+    return join_within(
+        drugs.select(*key, "drug_key"),
+        events.select(*key, "event_pt"),
+        key,
+        "drug_key",
+        "event_pt",
+        per_key=valid,
+    )
 
 
-def drug_event_counts(drugs: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
+def drug_event_counts(drugs: DataFrame, events: DataFrame, valid: DataFrame) -> DataFrame:
     return _n_reports(
-        cooccurring_pairs(drugs, events, key), "drug_key", "event_pt", "faers_quarter"
+        cooccurring_pairs(drugs, events, valid), "drug_key", "event_pt", "faers_quarter"
     )
 
 
-def valid_pairs(
-    demo: DataFrame, drug: DataFrame, reac: DataFrame, scope: str = "quarter"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Valid reports, their distinct drugs and their distinct events."""
-    valid = valid_reports(demo, scope)
-    drugs = _in_valid_reports(report_drugs(drug), valid)
-    events = _in_valid_reports(report_events(reac), valid)
-    return valid, drugs, events
-
-
-def _shared_key(drug: DataFrame, reac: DataFrame) -> list[str]:
-    key = report_key(drug)
-    return key if key == report_key(reac) else ["primaryid"]
+def _shared_key(drugs: DataFrame, events: DataFrame) -> list[str]:
+    key = report_key(drugs)
+    return key if key == report_key(events) else ["primaryid"]
 
 
 def build_background(
     demo: DataFrame, drug: DataFrame, reac: DataFrame, scope: str = "quarter"
 ) -> Background:
     """The four tables as lazy plans, all quarters at once."""
-    valid, drugs, events = valid_pairs(demo, drug, reac, scope)
+    return _background(valid_reports(demo, scope), report_drugs(drug), report_events(reac))
+
+
+def _background(valid: DataFrame, drugs: DataFrame, events: DataFrame) -> Background:
     return Background(
         quarter_totals=quarter_totals(valid),
-        drug_totals=drug_totals(drugs),
-        event_totals=event_totals(events),
-        drug_event_counts=drug_event_counts(drugs, events, _shared_key(drug, reac)),
+        drug_totals=drug_totals(in_valid_reports(drugs, valid)),
+        event_totals=event_totals(in_valid_reports(events, valid)),
+        drug_event_counts=drug_event_counts(drugs, events, valid),
     )
 
 
@@ -99,14 +100,10 @@ def write_background(
     split and small ones joined, so that the number of files follows the size of the result.
     """
     spark = demo.sparkSession
-    valid = materialize(valid_reports(demo, scope), "valid-reports")
-    drugs = materialize(_in_valid_reports(report_drugs(drug), valid), "report-drugs")
-    events = materialize(_in_valid_reports(report_events(reac), valid), "report-events")
-    results = Background(
-        quarter_totals=quarter_totals(valid),
-        drug_totals=drug_totals(drugs),
-        event_totals=event_totals(events),
-        drug_event_counts=drug_event_counts(drugs, events, _shared_key(drug, reac)),
+    results = _background(
+        materialize(valid_reports(demo, scope), "valid-reports"),
+        materialize(report_drugs(drug), "report-drugs"),
+        materialize(report_events(reac), "report-events"),
     )
     for table in TABLES:
         (

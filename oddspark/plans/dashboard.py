@@ -27,15 +27,20 @@ def star_join(reports: DataFrame, drugs: DataFrame, reactions: DataFrame) -> Dat
     """Reports with each of their drug rows and reaction rows, repeats counted in ``n_rows``.
 
     Drug and reaction rows of one report multiply. Equal rows are first counted, so that repeats
-    do not travel, and the distinct ones meet in the balanced join.
+    do not travel, and the distinct ones meet in the balanced join, which carries the report.
     """
     def counted(rows: DataFrame, name: str) -> DataFrame:
         equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(f"_n_{name}"))
         return equal.withColumn(f"_{name}", F.xxhash64(*rows.columns))
 
-    left = reports.join(counted(drugs, "drug"), "primaryid")
-    right = counted(reactions, "reaction")
-    joined = join_within(left, right, ["primaryid"], "_drug", "_reaction")
+    joined = join_within(
+        counted(drugs, "drug"),
+        counted(reactions, "reaction"),
+        ["primaryid"],
+        "_drug",
+        "_reaction",
+        per_key=reports,
+    )
     return joined.withColumn("n_rows", F.col("_n_drug") * F.col("_n_reaction")).drop(
         "_n_drug", "_n_reaction", "_drug", "_reaction"
     )

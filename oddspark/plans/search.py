@@ -79,9 +79,11 @@ def similarities(corpus: DataFrame, queries: DataFrame, packed: int = PACKED_QUE
     corpus, which is read in place and not shuffled. Many queries are packed into blocks; the
     corpus is dealt into one share per shuffle partition and meets every block in every share.
     """
-    normed = queries.withColumn("_norm", norm(F.col("vector")))
+    exact = queries.withColumn("vector", F.col("vector").cast("array<double>"))
+    normed = exact.withColumn("_norm", norm(F.col("vector")))
     pack = F.collect_list(F.struct("query", "vector", "_norm")).alias("_queries")
-    terms = corpus.withColumn("_norm", norm(F.col("embedding")))
+    wide = corpus.select("pt", F.col("embedding").cast("array<double>").alias("embedding"))
+    terms = wide.withColumn("_norm", norm(F.col("embedding")))
     n_queries = queries.count()
     if n_queries <= packed:
         paired = terms.withColumn("_queries", normed.agg(pack).scalar())
