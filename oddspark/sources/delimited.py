@@ -61,9 +61,17 @@ def tag_source_quarter(df: DataFrame, quarter: str) -> DataFrame:
     return df.withColumn("faers_quarter", F.lit(quarter))
 
 
+def type_keys(df: DataFrame) -> DataFrame:
+    """Report and case ids as longs, case versions as ints; text that is no number is null."""
+    kinds = {"primaryid": "long", "caseid": "long", "caseversion": "int"}
+    present = {c: F.col(c).try_cast(kind) for c, kind in kinds.items() if c in df.columns}
+    return df.withColumns(present) if present else df
+
+
 def parse_table(spark: SparkSession, path: str, quarter: str) -> DataFrame:
-    """One raw file as a tagged table with lower-case names."""
-    return tag_source_quarter(normalize_columns(scan_delimited(spark, path)), quarter)
+    """One raw file as a tagged table with lower-case names and typed keys."""
+    raw = normalize_columns(scan_delimited(spark, path))
+    return tag_source_quarter(type_keys(raw), quarter)
 
 
 def union_quarters(parts: list[DataFrame]) -> DataFrame:

@@ -85,21 +85,9 @@ def stored(spark, parsed, tmp_path_factory):
     return tables.scan_parquet(spark, root)
 
 
-def typed(demo):
-    return demo.withColumns({c: F.col(c).try_cast("long") for c in ("primaryid", "caseid")}
-                            | {"caseversion": F.col("caseversion").try_cast("int")})
-
-
-def ids(df):
-    return df.withColumn("primaryid", F.col("primaryid").try_cast("long"))
-
-
 @pytest.fixture(scope="module")
 def inputs(stored):
-    return {
-        "demo": typed(stored["demo"]),
-        **{t: ids(stored[t]) for t in ("drug", "reac", "outc", "indi")},
-    }
+    return stored
 
 
 def test_discovery(spark, parsed, rows):
@@ -114,9 +102,9 @@ def test_ragged_and_empty_cells(parsed, rows):
     assert demo.columns[0] == "primaryid" and demo.columns[-1] == "faers_quarter"
     found = {r["primaryid"]: r for r in demo.collect()}
     assert len(found) == 7
-    assert found["102"]["rept_cod"] == "EXP"
-    assert found["401"]["rept_cod"] is None and found["301"]["sex"] is None
-    assert found["103"]["faers_quarter"] == "2024Q2"
+    assert found[102]["rept_cod"] == "EXP" and found[102]["caseversion"] == 2
+    assert found[401]["rept_cod"] is None and found[301]["sex"] is None
+    assert found[103]["faers_quarter"] == "2024Q2" and found[201]["caseversion"] is None
 
 
 def test_profile(parsed):
