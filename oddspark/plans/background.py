@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddspark.functions.demographics import all_of, any_of
 from oddspark.operators.dedupe import (
     report_drugs,
     report_events,
@@ -25,6 +26,19 @@ class Background:
     event_totals: DataFrame
     drug_event_counts: DataFrame
 
+    def restricted(
+        self, drugs: list[str] | None = None, events: list[str] | None = None
+    ) -> "Background":
+        """The counts of some drugs and events; the filters reach the stored files."""
+        of_drug = all_of(any_of(F.col("drug_key"), drugs))
+        of_event = all_of(any_of(F.col("event_pt"), events))
+        return Background(
+            quarter_totals=self.quarter_totals,
+            drug_totals=self.drug_totals.filter(of_drug),
+            event_totals=self.event_totals.filter(of_event),
+            drug_event_counts=self.drug_event_counts.filter(of_drug & of_event),
+        )
+
 
 def in_valid_reports(pairs: DataFrame, valid: DataFrame) -> DataFrame:
     """Pairs of deduplicated reports, with the quarter of the report."""

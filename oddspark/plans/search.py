@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from oddspark import fixed_values as V
 from oddspark.functions.vectors import dot, norm
 from oddspark.operators.ranking import top_n_per
-from oddspark.schemas import EMBEDDINGS
+from oddspark.schemas import EMBEDDINGS, QUERY_VECTORS
+from oddspark.workspace import local_table
 
 Encoder = Callable[[list[str], str], list[list[float]]]
 
@@ -68,8 +69,9 @@ def query_vectors(
     spark: SparkSession, texts: list[str], encoder: Encoder = hashing_encoder
 ) -> DataFrame:
     """Vectors of the user's search texts: ``query, vector``."""
-    rows = list(zip(texts, encoder(texts, "query")))
-    return spark.createDataFrame(rows, "query string, vector array<float>")
+    vectors = encoder(texts, "query")
+    rows = [{"query": t, "vector": v} for t, v in zip(texts, vectors, strict=True)]
+    return local_table(spark, rows, QUERY_VECTORS)
 
 
 def similarities(corpus: DataFrame, queries: DataFrame, packed: int = PACKED_QUERIES) -> DataFrame:

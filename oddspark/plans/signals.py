@@ -14,6 +14,8 @@ from oddspark.functions.metrics import (
 )
 from oddspark.operators.ranking import forest_rows, rank_by_ic
 from oddspark.plans.background import Background
+from oddspark.schemas import DRUG_KEYS, GRID
+from oddspark.workspace import local_table
 
 MIN_CASES = 3
 SIGNAL_COLUMNS = ["drug_key", "event_pt", *CELLS, *METRICS, *FLAGS]
@@ -94,11 +96,13 @@ def compare_grid(
 ) -> DataFrame:
     """Every drug with every event, in the order of the two lists (``drug_pos, event_pos``)."""
     spark = background.drug_totals.sparkSession
-    grid = spark.createDataFrame(
-        [(i, d, j, e) for i, d in enumerate(drugs) for j, e in enumerate(events)],
-        "drug_pos int, drug_key string, event_pos int, event_pt string",
-    )
-    return disproportionality(contingency(background, grid, quarters))
+    cells = [
+        {"drug_pos": i, "drug_key": d, "event_pos": j, "event_pt": e}
+        for i, d in enumerate(drugs)
+        for j, e in enumerate(events)
+    ]
+    grid = local_table(spark, cells, GRID)
+    return disproportionality(contingency(background.restricted(drugs, events), grid, quarters))
 
 
 def compare_drugs(
@@ -121,7 +125,14 @@ def scan_signals(
     min_cases: int = MIN_CASES,
 ) -> DataFrame:
     """All events of the given drugs (all drugs if none) with their cells and metrics."""
-    pairs = events_having_min(background.drug_event_counts, drugs, quarters, min_cases)
+    chosen = background.restricted(drugs)
+    pairs = events_having_min(chosen.drug_event_counts, drugs, quarters, min_cases)
+    return _signals_of(pairs, chosen, quarters)
+
+
+def _signals_of(
+    pairs: DataFrame, background: Background, quarters: list[str] | None = None
+) -> DataFrame:
     cells = _add_cells(pairs, background, quarters)
     return disproportionality(cells).select(*SIGNAL_COLUMNS)
 
@@ -151,11 +162,18 @@ def stored_signals(stored: DataFrame, drugs: list[str], min_cases: int = 10) ->
 def precomputed_or_live(
     stored: DataFrame, background: Background, drugs: list[str], min_cases: int = 10
 ) -> DataFrame:
-    """Stored rows, and a live scan for each drug for which the stored filter finds nothing."""
+    """Stored rows, and a live scan for each drug for which the stored filter finds nothing.
+
+    The drugs left over are known before the counts are read: when there are none, the adaptive
+    planner drops the live branch.
+    """
     found = stored_signals(stored, drugs, min_cases).select(*SIGNAL_COLUMNS)
-    answered = found.select("drug_key").distinct()
-    live = scan_signals(background, drugs, min_cases=min_cases)
-    return found.unionByName(live.join(answered, "drug_key", "left_anti"))
+    asked = local_table(stored.sparkSession, [{"drug_key": d} for d in drugs], DRUG_KEYS)
+    missing = asked.distinct().join(found.select("drug_key"), "drug_key", "left_anti")
+    chosen = background.restricted(drugs)
+    counts = chosen.drug_event_counts.join(missing, "drug_key", "left_semi")
+    live = _signals_of(events_having_min(counts, min_cases=min_cases), chosen)
+    return found.unionByName(live)
 
 
 def filter_flags_or(signals: DataFrame) -> DataFrame:

@@ -43,6 +43,20 @@ SIGNALS = T.StructType([
     T.StructField("is_signal_bcpnn", T.BooleanType()),
 ])
 
+GRID = T.StructType([
+    T.StructField("drug_pos", T.IntegerType()),
+    T.StructField("drug_key", T.StringType()),
+    T.StructField("event_pos", T.IntegerType()),
+    T.StructField("event_pt", T.StringType()),
+])
+
+DRUG_KEYS = T.StructType([T.StructField("drug_key", T.StringType())])
+
+QUERY_VECTORS = T.StructType([
+    T.StructField("query", T.StringType()),
+    T.StructField("vector", T.ArrayType(T.FloatType())),
+])
+
 EMBEDDINGS = T.StructType([
     T.StructField("pt", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),

@@ -5,12 +5,15 @@ from pyspark.sql import types as T
 
 from oddspark import fixed_values as V
 from oddspark import schemas
+from oddspark.workspace import local_table
 
 
 def inline_dictionary(spark: SparkSession, members: list[tuple] = V.CLASS_DICTIONARY) -> DataFrame:
     """The dictionary of a drug class, in its given order."""
-    rows = [(i, *member) for i, member in enumerate(members)]
-    return spark.createDataFrame(rows, schemas.DICTIONARY)
+    rows = [
+        dict(zip(schemas.DICTIONARY.names, (i, *member))) for i, member in enumerate(members)
+    ]
+    return local_table(spark, rows, schemas.DICTIONARY)
 
 
 def list_dictionary(dictionary: DataFrame) -> DataFrame:
@@ -22,8 +25,7 @@ def load_fixture(spark: SparkSession, source: str | list[dict], schema: T.Struct
     """Nested records from JSON lines or from a list of dictionaries; missing fields are null."""
     if isinstance(source, str):
         return spark.read.schema(schema).json(source)
-    rows = [tuple(record.get(field) for field in schema.names) for record in source]
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, source, schema)
 
 
 def known_signals(spark: SparkSession) -> DataFrame:

@@ -1,9 +1,11 @@
-"""The shared folder for written intermediate tables and checkpoints."""
+"""Written intermediate tables in the shared folder, and small tables from the caller."""
 
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, records: list[dict], schema: T.StructType) -> DataFrame:
+    """A table of records that the caller holds; missing fields are null.
+
+    Built from Arrow, so that its size is known to the planner, which broadcasts it only below
+    its own threshold.
+    """
+    complete = [{name: record.get(name) for name in schema.names} for record in records]
+    empty = [dict.fromkeys(schema.names)]
+    table = pa.Table.from_pylist(complete) if complete else pa.Table.from_pylist(empty).slice(0, 0)
+    return spark.createDataFrame(table, schema)

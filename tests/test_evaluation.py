@@ -63,7 +63,7 @@ RULES = [
 
 
 def call(name):
-    return (1, name, "{}", "")
+    return {"turn": 1, "name": name, "arguments": "{}", "output_preview": ""}
 
 
 ANSWERS = [
