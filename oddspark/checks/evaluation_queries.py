@@ -11,6 +11,8 @@ from oddspark.plans import answers as H14
 from oddspark.plans import search as H11
 from oddspark.plans import validation as H13
 from oddspark.plans.signals import scan_signals
+from oddspark.sources.tables import overwrite_table
+from oddspark.workspace import new_folder
 
 
 def _terms(star):
@@ -99,6 +101,17 @@ def _(star):
     )
 
 
+@query("refresh_embeddings", """
+SELECT DISTINCT pt, 1024::BIGINT AS width FROM reac WHERE pt IS NOT NULL""")
+def _(star):
+    stored, merged = new_folder(star.spark, "terms"), new_folder(star.spark, "terms")
+    overwrite_table(_embedded_types(star), stored)
+    H11.refresh_embeddings(star.reac, stored, merged)
+    return star.spark.read.parquet(merged).select(
+        "pt", F.size("embedding").cast("long").alias("width")
+    )
+
+
 @query("encoder", """
 SELECT DISTINCT pt, 1.0::DOUBLE AS similarity FROM reac WHERE pt IS NOT NULL""")
 def _(star):

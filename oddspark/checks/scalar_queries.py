@@ -141,8 +141,9 @@ def _(star):
 
 @query("project_metrics", """
 SELECT event_pt, a, round(prr, 3) AS prr, round(prr_chi2, 3) AS prr_chi2, round(ror, 3) AS ror,
-  round(ror_ci_low, 3) AS ror_ci_low, round(ror_ci_high, 3) AS ror_ci_high, round(ic, 3) AS ic,
-  round(ic_ci_low, 3) AS ic_ci_low, is_signal_ema, is_signal_bcpnn FROM signals""")
+  round(ror_ci_low, 3) AS ror_ci_low, round(ror_ci_high, 3) AS ror_ci_high,
+  round(ic, 3) + 0.0 AS ic, round(ic_ci_low, 3) + 0.0 AS ic_ci_low, is_signal_ema,
+  is_signal_bcpnn FROM signals""")
 def _(star):
     signals = scan_signals(star.background).select(*TOOL_COLUMNS)
     kept = [c for c in TOOL_COLUMNS if c not in M.METRICS]

@@ -191,7 +191,7 @@ class Star:
             F.col("turn").cast("int").alias("turn"),
             tool.alias("name"),
             F.lit("{}").alias("arguments"),
-            F.substring(text, 1, 500).alias("output_preview"),
+            F.lit("").alias("output_preview"),
         )
         return self.table("conversations").filter(F.col("role") == "assistant").select(
             "conv_id",

@@ -1,5 +1,7 @@
 """Recognition of class members in free-text product names."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +18,40 @@ def add_class_member(
     """Add ``active_ingredient``: the class member named by ``drugname``, else by ``prod_ai``.
 
     A name matches when it contains a variant; of several the first in dictionary order wins.
-    The size of the dictionary is looked up first. A curated list turns into one expression with
-    no join and no shuffle. A longer one goes through ``matched_names``.
     """
-    ordered = matcher.orderBy("dict_pos", "name_pos").select("variant", "active")
-    rows = ordered.limit(inline_variants + 1).collect()
-    named = computed_once(drug, {
+    return member_recognizer(matcher, inline_variants)(drug)
+
+
+def member_recognizer(
+    matcher: DataFrame, inline_variants: int = INLINE_VARIANTS
+) -> Callable[[DataFrame], DataFrame]:
+    """``add_class_member`` for one dictionary, whose size is looked up once.
+
+    A curated list turns into one expression with no join and no shuffle. A longer one goes
+    through ``matched_names``.
+    """
+    rows = matcher.limit(inline_variants + 1).collect()
+    if len(rows) > inline_variants:
+        return lambda drug: _members_joined(_cleaned(drug), matcher).select(
+            *drug.columns, "active_ingredient"
+        )
+    rows.sort(key=lambda r: (r["dict_pos"], r["name_pos"]))
+    variants = [(r["variant"], r["active"]) for r in rows]
+    member = F.coalesce(
+        first_variant_in(F.col("_drugname"), variants),
+        first_variant_in(F.col("_prod_ai"), variants),
+    )
+    return lambda drug: _cleaned(drug).select(*drug.columns, member.alias("active_ingredient"))
+
+
+def _cleaned(drug: DataFrame) -> DataFrame:
+    return computed_once(drug, {
         "_drugname": normalize_drug_name(F.col("drugname")),
         "_prod_ai": normalize_drug_name(F.col("prod_ai")),
     })
-    if len(rows) <= inline_variants:
-        variants = [(r["variant"], r["active"]) for r in rows]
-        member = F.coalesce(
-            first_variant_in(F.col("_drugname"), variants),
-            first_variant_in(F.col("_prod_ai"), variants),
-        )
-        return named.withColumn("active_ingredient", member).drop("_drugname", "_prod_ai")
+
+
+def _members_joined(named: DataFrame, matcher: DataFrame) -> DataFrame:
     names = named.select(F.explode(F.array("_drugname", "_prod_ai")).alias("name"))
     hits = matched_names(names.filter("name is not null").distinct(), matcher)
     by_name = hits.select(F.col("name").alias("_drugname"), F.col("active").alias("_by_name"))
@@ -40,7 +60,6 @@ def add_class_member(
         named.join(by_name, "_drugname", "left")
         .join(by_ai, "_prod_ai", "left")
         .withColumn("active_ingredient", F.coalesce("_by_name", "_by_ai"))
-        .select(*drug.columns, "active_ingredient")
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from oddspark.functions.demographics import age_to_years, lenient_cast, lenient_date
 from oddspark.functions.names import build_matcher
 from oddspark.operators.dedupe import dedupe_latest_version, report_key, valid_reports
-from oddspark.operators.matching import add_class_member
-from oddspark.workspace import new_folder
+from oddspark.operators.matching import member_recognizer
+from oddspark.workspace import materialize
 
 TABLES = ("reports", "drugs", "reactions", "outcomes", "indications")
 
@@ -93,23 +93,25 @@ def build_cohort(
     indi: DataFrame,
     dictionary: DataFrame,
     scope: str = "quarter",
-    ids: DataFrame | None = None,
 ) -> Cohort:
     """The five cohort tables as lazy plans.
 
     The report keys are a table and never a set in memory. Each detail table is reduced by one
-    semi join; the planner broadcasts the keys when they turn out small. Stored ``ids`` spare
-    the five results from deriving them again.
+    semi join; the planner broadcasts the keys when they turn out small.
     """
-    flagged = add_class_member(drug, build_matcher(dictionary))
-    if ids is None:
-        ids = cohort_ids(flagged, valid_reports(demo, scope))
+    recognize = member_recognizer(build_matcher(dictionary))
+    ids = cohort_ids(recognize(drug), valid_reports(demo, scope))
+    return _detail(demo, drug, reac, outc, indi, recognize, ids, scope)
+
+
+def _detail(demo, drug, reac, outc, indi, recognize, ids: DataFrame, scope: str) -> Cohort:
+    """The tables of the given reports; names are looked at again only in those."""
     key = report_key(demo)
     latest = dedupe_latest_version(demo.join(ids.select(*key), key, "left_semi"), scope)
     return Cohort(
         ids=ids,
         reports=shape_reports(latest),
-        drugs=shape_drugs(in_cohort(flagged, ids)),
+        drugs=shape_drugs(recognize(in_cohort(drug, ids))),
         reactions=in_cohort(reac, ids).select("primaryid", "pt", "drug_rec_act"),
         outcomes=in_cohort(outc, ids).select("primaryid", "outc_cod"),
         indications=shape_indications(in_cohort(indi, ids)),
@@ -126,16 +128,16 @@ def write_cohort(
     path: str,
     scope: str = "quarter",
 ) -> Cohort:
-    """Build and store the cohort below ``path`` and return the stored tables."""
-    spark = demo.sparkSession
-    flagged = add_class_member(drug, build_matcher(dictionary))
-    ids_path = new_folder(spark, "cohort-ids")
-    cohort_ids(flagged, valid_reports(demo, scope)).write.parquet(ids_path)
-    ids = spark.read.parquet(ids_path)
-    cohort = build_cohort(demo, drug, reac, outc, indi, dictionary, scope, ids)
+    """Build and store the cohort below ``path`` and return the stored tables.
+
+    The report keys are written first, as all five tables read them.
+    """
+    recognize = member_recognizer(build_matcher(dictionary))
+    ids = materialize(cohort_ids(recognize(drug), valid_reports(demo, scope)), "cohort-ids")
+    cohort = _detail(demo, drug, reac, outc, indi, recognize, ids, scope)
     for table in TABLES:
         getattr(cohort, table).write.mode("overwrite").parquet(f"{path}/{table}")
-    return read_cohort(spark, path, ids)
+    return read_cohort(demo.sparkSession, path, ids)
 
 
 def read_cohort(spark: SparkSession, path: str, ids: DataFrame | None = None) -> Cohort:

@@ -143,7 +143,7 @@ def demographics(reports: DataFrame) -> DataFrame:
     )
 
 
-def demographics_pivot(counted: DataFrame, sexes: list[str]) -> DataFrame:
-    """Age band by sex, missing cells 0. The columns are named, so no extra pass finds them."""
+def demographics_pivot(counted: DataFrame, sexes: list[str] | None = None) -> DataFrame:
+    """Age band by sex, missing cells 0. Named columns spare the pass that would find them."""
     wide = counted.groupBy("age_group").pivot("sex", sexes).agg(F.sum("n_reports"))
-    return wide.fillna(0, sexes)
+    return wide.fillna(0, wide.columns[1:])

@@ -12,7 +12,8 @@ from oddspark import fixed_values as V
 from oddspark.functions.vectors import dot, norm
 from oddspark.operators.ranking import top_n_per
 from oddspark.schemas import EMBEDDINGS, QUERY_VECTORS
-from oddspark.workspace import local_table
+from oddspark.sources.tables import read_if_exists, upsert_table
+from oddspark.workspace import local_table, materialize
 
 Encoder = Callable[[list[str], str], list[list[float]]]
 
@@ -65,6 +66,18 @@ def embed_missing(
     return embed_terms(missing_terms(reactions, embeddings), encoder)
 
 
+def refresh_embeddings(
+    reactions: DataFrame, path: str, out_path: str, encoder: Encoder = hashing_encoder
+) -> None:
+    """Embed the terms without a vector and write the merged table to ``out_path``.
+
+    The new vectors are written down before the merge, so that no term is encoded twice.
+    """
+    existing = read_if_exists(reactions.sparkSession, path, EMBEDDINGS)
+    new = materialize(embed_missing(reactions, existing, encoder), "embeddings")
+    upsert_table(new, path, out_path, ["pt"])
+
+
 def query_vectors(
     spark: SparkSession, texts: list[str], encoder: Encoder = hashing_encoder
 ) -> DataFrame:

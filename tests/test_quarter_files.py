@@ -259,6 +259,8 @@ def test_cohort_figures(cohort, rows):
         ("40-59", "F", 2), ("60-74", "M", 1), ("Unknown", "Unknown", 1)]
     wide = D.demographics_pivot(D.demographics(cohort.reports), ["F", "M", "Unknown"])
     assert rows(wide) == [("40-59", 2, 0, 0), ("60-74", 0, 1, 0), ("Unknown", 0, 0, 1)]
+    assert D.demographics_pivot(D.demographics(cohort.reports)).columns == [
+        "age_group", "F", "M", "Unknown"]
     top = D.drug_distribution(cohort.drugs).collect()
     assert tuple(top[0]) == ("OZEMPIC", 2)
 

@@ -53,6 +53,21 @@ def test_embedding_of_missing_terms(spark, tmp_path):
     assert {len(r["embedding"]) for r in merged} == {1024}
 
 
+def test_refreshing_embeds_each_term_once(spark, tmp_path):
+    one, two = str(tmp_path / "v1"), str(tmp_path / "v2")
+    first = spark.createDataFrame([(1, "Nausea"), (2, "Ileus")], "primaryid long, pt string")
+    H.refresh_embeddings(first, str(tmp_path / "none"), one)
+    more = first.union(spark.createDataFrame([(3, "Vomiting")], first.schema))
+
+    def only_new(texts, kind):
+        assert texts == ["Vomiting"]
+        return [[1.0] for _ in texts]
+
+    H.refresh_embeddings(more, one, two, only_new)
+    stored = {r["pt"]: len(r["embedding"]) for r in spark.read.parquet(two).collect()}
+    assert stored == {"Nausea": 1024, "Ileus": 1024, "Vomiting": 1}
+
+
 def test_encoder_batches(spark):
     def counting(texts, kind):
         assert len(texts) <= 128 and kind == "query"
