@@ -1,6 +1,6 @@
 """Latest version of every case, and distinct report-item pairs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddspark import fixed_values as V
@@ -50,23 +50,23 @@ def restrict_to_valid(child: DataFrame, valid: DataFrame) -> DataFrame:
     return child.join(valid.select(*key), key, "left_semi")
 
 
-def distinct_pairs(child: DataFrame, item: Column, name: str) -> DataFrame:
+def distinct_pairs(child: DataFrame, item: str) -> DataFrame:
     """Distinct (report, item) pairs with a non-empty item.
 
     Shuffled by report and item together after a reduction in each task. A report then holds at
     most one row per item of the vocabulary.
     """
-    key = report_key(child)
-    pairs = computed_once(child, {name: item}).select(*key, name)
-    return pairs.filter(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
+    named = child.filter(F.col(item).isNotNull() & (F.col(item) != ""))
+    return named.select(*report_key(child), item).distinct()
 
 
 def report_drugs(drug: DataFrame) -> DataFrame:
     """Distinct (report, drug key) pairs of suspect products."""
     suspect = drug.filter(F.col("role_cod").isin(V.SUSPECT_ROLES))
-    return distinct_pairs(suspect, drug_key(F.col("prod_ai"), F.col("drugname")), "drug_key")
+    key = drug_key(F.col("prod_ai"), F.col("drugname"))
+    return distinct_pairs(computed_once(suspect, {"drug_key": key}), "drug_key")
 
 
 def report_events(reac: DataFrame) -> DataFrame:
     """Distinct (report, event term) pairs."""
-    return distinct_pairs(reac, F.col("pt"), "event_pt")
+    return distinct_pairs(reac.withColumnRenamed("pt", "event_pt"), "event_pt")
