@@ -262,13 +262,17 @@ def _(star):
     )
 
 
-@query("summarize_answers", """
+_SUMMARY = """
 SELECT count(*) AS total_questions, round(avg(tool_ok::INT), 6) AS tool_accuracy,
   round(avg(pt_coverage), 6) AS avg_pt_coverage,
   round(avg((violations = '')::INT), 6) AS no_forbidden_rate,
   round(avg(has_n_citation::INT), 6) AS n_citation_rate,
   round(avg(has_limitation::INT), 6) AS limitation_rate, round(avg(turn), 6) AS avg_turns,
-  count(error) AS n_errors FROM scores""", answers=True)
+  count(error) AS n_errors FROM scores"""
+
+
+@query("answer_summary", _SUMMARY, answers=True)
+@query("summarize_answers", _SUMMARY, answers=True)
 def _(star):
     return H14.summarize_answers(_scores(star))
 

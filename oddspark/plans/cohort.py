@@ -130,13 +130,15 @@ def write_cohort(
 ) -> Cohort:
     """Build and store the cohort below ``path`` and return the stored tables.
 
-    The report keys are written first, as all five tables read them.
+    The report keys are written first, as all five tables read them. A cohort is a small part of
+    its sources, so its rows are gathered into files of an even size.
     """
     recognize = member_recognizer(build_matcher(dictionary))
     ids = materialize(cohort_ids(recognize(drug), valid_reports(demo, scope)), "cohort-ids")
     cohort = _detail(demo, drug, reac, outc, indi, recognize, ids, scope)
     for table in TABLES:
-        getattr(cohort, table).write.mode("overwrite").parquet(f"{path}/{table}")
+        rows = getattr(cohort, table).hint("rebalance")
+        rows.write.mode("overwrite").parquet(f"{path}/{table}")
     return read_cohort(demo.sparkSession, path, ids)
 
 

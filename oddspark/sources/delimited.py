@@ -39,14 +39,16 @@ def discover_table_files(
 def scan_delimited(spark: SparkSession, path: str | list[str], sep: str = "$") -> DataFrame:
     """Text with a header line, every column a string.
 
-    Short rows are filled with nulls, surplus cells are dropped, empty cells are null. Column
-    names come from the header; nothing is inferred from the rows.
+    Short rows are filled with nulls, surplus cells are dropped, empty cells are null. A quote
+    within quotes is doubled, and a backslash is an ordinary character. Column names come from
+    the header; nothing is inferred from the rows.
     """
     return (
         spark.read.option("sep", sep)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
+        .option("escape", '"')
         .csv(path)
     )
 

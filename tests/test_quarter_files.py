@@ -36,7 +36,7 @@ FILES = {
         "101$1$PS$OZEMPIC$SEMAGLUTIDE$SC$1$MG",
         "102$1$PS$OZEMPIC$SEMAGLUTIDE$SC$1$MG",
         "102$2$SS$Ozempic 1 mg$SEMAGLUTIDE$SC$x$MG",
-        "102$3$C$ASPIRIN$ASPIRIN$PO$100$MG",
+        '102$3$C$"ASPIRIN ""X\\Y"""$ASPIRIN$PO$100$MG',
         "201$1$PS$METFORMIN 500 MG TABLET$$PO$500$MG",
         "201$2$I$WEGOVY$$SC$$",
         "301$1$PS$SOLIQUA$INSULIN GLARGINE\\LIXISENATIDE$SC$1$MG",
@@ -104,6 +104,7 @@ def test_ragged_and_empty_cells(parsed, rows):
     assert len(found) == 7
     assert found[102]["rept_cod"] == "EXP" and found[102]["caseversion"] == 2
     assert found[401]["rept_cod"] is None and found[301]["sex"] is None
+    assert parsed[1]["drug"].filter("drug_seq = '3'").first()["drugname"] == 'ASPIRIN "X\\Y"'
     assert found[103]["faers_quarter"] == "2024Q2" and found[201]["caseversion"] is None
 
 
