@@ -33,7 +33,8 @@ def _(star):
     return kept.select("primaryid", "role_cod", "drugname", "prod_ai")
 
 
-@query("cohort_semi_join", "SELECT primaryid, pt, drug_rec_act FROM reactions")
+@query("cohort_semi_join", """
+SELECT primaryid, pt, drug_rec_act FROM reac WHERE primaryid IN (SELECT primaryid FROM ids)""")
 def _(star):
     ids = H.cohort_ids(_flagged(star), E1.valid_reports(star.demo_core))
     return H.in_cohort(star.reac, ids)

@@ -394,7 +394,8 @@ drugs AS (
   SELECT primaryid, try_cast(drug_seq AS INTEGER) AS drug_seq, role_cod, drugname, prod_ai, route,
     try_cast(dose_amt AS DOUBLE) AS dose_amt, dose_unit, active_ingredient IS NOT NULL AS is_glp1
   FROM member WHERE primaryid IN (SELECT primaryid FROM ids)),
-reactions AS (SELECT * FROM reac WHERE primaryid IN (SELECT primaryid FROM ids)),
+reactions AS (
+  SELECT * FROM reac WHERE pt IS NOT NULL AND primaryid IN (SELECT primaryid FROM ids)),
 outcomes AS (SELECT * FROM outc WHERE primaryid IN (SELECT primaryid FROM ids)),
 indications AS (
   SELECT primaryid, try_cast(indi_drug_seq AS INTEGER) AS indi_drug_seq, indi_pt FROM indi

@@ -79,6 +79,12 @@ def shape_drugs(flagged: DataFrame) -> DataFrame:
     )
 
 
+def shape_reactions(reac: DataFrame) -> DataFrame:
+    """Reactions with a term; the term is required."""
+    named = reac.filter(F.col("pt").isNotNull() & (F.col("pt") != ""))
+    return named.select("primaryid", "pt", "drug_rec_act")
+
+
 def shape_indications(indi: DataFrame) -> DataFrame:
     return indi.select(
         "primaryid", lenient_cast(F.col("indi_drug_seq"), "int").alias("indi_drug_seq"), "indi_pt"
@@ -112,7 +118,7 @@ def _detail(demo, drug, reac, outc, indi, recognize, ids: DataFrame, scope: str)
         ids=ids,
         reports=shape_reports(latest),
         drugs=shape_drugs(recognize(in_cohort(drug, ids))),
-        reactions=in_cohort(reac, ids).select("primaryid", "pt", "drug_rec_act"),
+        reactions=shape_reactions(in_cohort(reac, ids)),
         outcomes=in_cohort(outc, ids).select("primaryid", "outc_cod"),
         indications=shape_indications(in_cohort(indi, ids)),
     )

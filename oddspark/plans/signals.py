@@ -88,7 +88,7 @@ def compute_signal(
     background: Background, drug: str, event: str, quarters: list[str] | None = None
 ) -> DataFrame:
     """Cells and metrics of one pair, one row."""
-    return compare_grid(background, [drug], [event], quarters)
+    return compare_grid(background, [drug], [event], quarters).select(*SIGNAL_COLUMNS)
 
 
 def compare_grid(
