@@ -7,7 +7,12 @@ from oddspark.checks.star import metrics_sql, normalized
 from oddspark.functions import demographics as D
 from oddspark.functions import metrics as M
 from oddspark.functions import names as N
-from oddspark.operators.matching import add_class_member, matched_names
+from oddspark.operators.matching import (
+    add_class_member,
+    add_member_by_name,
+    class_names,
+    matched_names,
+)
 from oddspark.operators.ranking import rank_by_ic
 from oddspark.plans.cohort import shape_reports
 from oddspark.plans.signals import (
@@ -196,6 +201,14 @@ def _(star):
     return joined.select("primaryid", "drugname", "prod_ai", "active_ingredient")
 
 
+@query("class_names", """
+SELECT primaryid, drugname, prod_ai, active_ingredient FROM member""")
+def _(star):
+    names = materialize(class_names(star.drug, N.build_matcher(star.dictionary)), "class-names")
+    flagged = add_member_by_name(star.drug, names)
+    return flagged.select("primaryid", "drugname", "prod_ai", "active_ingredient")
+
+
 @query("matched_names", """
 SELECT name, CASE WHEN contains(name, 'ring') THEN 'r' WHEN contains(name, 'bolt') THEN 'b'
   WHEN contains(name, 'in') THEN 'i' END AS active

@@ -63,6 +63,40 @@ def _members_joined(named: DataFrame, matcher: DataFrame) -> DataFrame:
     )
 
 
+def class_names(
+    drug: DataFrame, matcher: DataFrame, inline_variants: int = INLINE_VARIANTS
+) -> DataFrame:
+    """The raw names in ``drug`` that name a class member: ``name, active``.
+
+    Each distinct name is cleaned and matched once, however many rows carry it. Only names that
+    match are kept, so the table is small where the class is a small part of all products.
+    """
+    raw = drug.select(F.explode(F.array("drugname", "prod_ai")).alias("drugname"))
+    names = raw.filter("drugname is not null").distinct()
+    recognize = member_recognizer(matcher, inline_variants)
+    found = recognize(names.withColumn("prod_ai", F.lit(None).cast("string")))
+    return found.filter("active_ingredient is not null").select(
+        F.col("drugname").alias("name"), F.col("active_ingredient").alias("active")
+    )
+
+
+def add_member_by_name(drug: DataFrame, names: DataFrame) -> DataFrame:
+    """``add_class_member`` by equality with the names found by ``class_names``.
+
+    Meant for names that are stored: then the planner knows their size, and broadcasts them or
+    not accordingly.
+    """
+    def lookup(column: str, found: str) -> DataFrame:
+        return names.select(F.col("name").alias(column), F.col("active").alias(found))
+
+    return (
+        drug.join(lookup("drugname", "_by_name"), "drugname", "left")
+        .join(lookup("prod_ai", "_by_ai"), "prod_ai", "left")
+        .withColumn("active_ingredient", F.coalesce("_by_name", "_by_ai"))
+        .select(*drug.columns, "active_ingredient")
+    )
+
+
 def matched_names(names: DataFrame, matcher: DataFrame) -> DataFrame:
     """Distinct names that contain a variant, with the ingredient of the first: ``name, active``.
 

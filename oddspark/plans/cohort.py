@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddspark.functions.demographics import age_to_years, lenient_cast, lenient_date
 from oddspark.functions.names import build_matcher
 from oddspark.operators.dedupe import dedupe_latest_version, report_key, valid_reports
-from oddspark.operators.matching import member_recognizer
+from oddspark.operators.matching import add_member_by_name, class_names, member_recognizer
 from oddspark.workspace import materialize
 
 TABLES = ("reports", "drugs", "reactions", "outcomes", "indications")
@@ -136,10 +136,15 @@ def write_cohort(
 ) -> Cohort:
     """Build and store the cohort below ``path`` and return the stored tables.
 
-    The report keys are written first, as all five tables read them. A cohort is a small part of
-    its sources, so its rows are gathered into files of an even size.
+    The class names and the report keys are written first: names are cleaned once each and not
+    once per row, and all five tables read the keys. A cohort is a small part of its sources, so
+    its rows are gathered into files of an even size.
     """
-    recognize = member_recognizer(build_matcher(dictionary))
+    names = materialize(class_names(drug, build_matcher(dictionary)), "class-names")
+
+    def recognize(rows: DataFrame) -> DataFrame:
+        return add_member_by_name(rows, names)
+
     ids = materialize(cohort_ids(recognize(drug), valid_reports(demo, scope)), "cohort-ids")
     cohort = _detail(demo, drug, reac, outc, indi, recognize, ids, scope)
     for table in TABLES:

@@ -4,7 +4,12 @@ from pyspark.sql import functions as F
 
 from oddspark import fixed_values as V
 from oddspark.functions import names as N
-from oddspark.operators.matching import add_class_member, matched_names
+from oddspark.operators.matching import (
+    add_class_member,
+    add_member_by_name,
+    class_names,
+    matched_names,
+)
 from oddspark.sources.fixtures import inline_dictionary, list_dictionary
 
 CLEANED = {
@@ -92,6 +97,9 @@ def test_members_inline_and_joined(spark, rows):
         flagged = add_class_member(drug, matcher, inline)
         assert flagged.columns == ["primaryid", "drugname", "prod_ai", "active_ingredient"]
         assert rows(flagged, "primaryid", "active_ingredient") == want
+        by_name = add_member_by_name(drug, class_names(drug, matcher, inline))
+        assert by_name.columns == flagged.columns
+        assert rows(by_name, "primaryid", "active_ingredient") == want
 
 
 def test_substring_join_agrees_with_containment(spark, rows):
