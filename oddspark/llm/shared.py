@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddspark.workspace import new_folder
@@ -95,3 +95,21 @@ def components(work: Work, links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if not changed:
             return labels
+
+
+def numbered(work: Work, df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with ``number``, its place from 0 in the given order, without one task seeing all rows.
+
+    Rows are dealt by range and sorted per partition; a table with one row per partition, so of
+    bounded size, holds how many rows lie before each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = work.store(dealt.withColumn("slot", F.monotonically_increasing_id()), name)
+    part = F.shiftright("slot", 33)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(
+        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (dealt.withColumn("part", part).join(F.broadcast(before.select("part", "before")), "part")
+            .withColumn("number", F.col("before") + F.col("slot").bitwiseAND((1 << 33) - 1))
+            .drop("part", "slot", "before"))
