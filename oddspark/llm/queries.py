@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddspark.llm import quality
+from oddspark.llm import lines, mixing, quality
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,117 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND {" AND ".join(f"{n} <= max_{n}" for n in quality.FLOORS)} AS kept
 FROM r JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """
+
+
+def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents")).drop("row_hash")
+
+
+QUERIES["op5_source_mix"] = op5_source_mix
+ORACLES["op5_source_mix"] = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+src AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+w AS (SELECT *, CAST([5, 2, 1][number % 3 + 1] AS BIGINT) AS weight FROM src),
+lvl AS (
+  SELECT CAST(0 AS DOUBLE) AS level, CAST(-1 AS BIGINT) AS capped, CAST(0 AS BIGINT) AS turn
+  UNION ALL
+  SELECT CAST((SELECT sum(source_size) FROM w) * 1.0 - f.words AS DOUBLE) / f.rest, f.n, l.turn + 1
+  FROM lvl l, LATERAL (
+    SELECT count(CASE WHEN weight * l.level > 3 * source_size THEN 1 END) AS n,
+      coalesce(sum(CASE WHEN weight * l.level > 3 * source_size THEN 3 * source_size END), 0) AS words,
+      sum(CASE WHEN weight * l.level > 3 * source_size THEN NULL ELSE weight END) AS rest FROM w) f
+  WHERE f.n <> l.capped AND f.rest > 0),
+tgt AS (
+  SELECT w.*, least(weight * level, CAST(3 * source_size AS DOUBLE)) AS target
+  FROM w, (SELECT level FROM lvl ORDER BY turn DESC LIMIT 1)),
+s0 AS (
+  SELECT *, target / 8 AS ideal, CAST(floor(sum(target) OVER () / 8 + 0.5) AS BIGINT) AS total,
+    CAST(floor(target / 8 + 0.5) AS BIGINT) AS seats, count(*) OVER () AS parties FROM tgt),
+s1 AS (SELECT *, total - sum(seats) OVER () AS short FROM s0),
+sc AS (
+  SELECT number, sign(short) AS way, row_number() OVER (ORDER BY CASE WHEN short > 0 THEN -1 ELSE 1 END
+    * (ideal / (2 * (CASE WHEN short > 0 THEN seats + step ELSE seats - 1 - step END) + 1)), number, step) AS r,
+    abs(short) AS many
+  FROM (SELECT *, unnest(range(0, CAST(ceil(ideal * parties / (2 * greatest(total, 1))) AS BIGINT) + 2)) AS step
+        FROM s1 WHERE short <> 0)
+  WHERE ideal > 0 AND CASE WHEN short > 0 THEN seats + step ELSE seats - 1 - step END >= 0),
+quota AS (
+  SELECT s1.*, s1.seats + coalesce(m.moved, 0) AS quota,
+    CAST(greatest(ceil(source_size / {mixing.SHARD_WORDS}.0), 1) AS BIGINT) AS shards
+  FROM s1 LEFT JOIN (SELECT number, sum(way) AS moved FROM sc WHERE r <= many GROUP BY number) m USING (number)),
+dealt AS (
+  SELECT d.*, q.number, q.source_size, q.target, q.quota,
+    CAST(('0x' || substr(place, 9, 8)) AS BIGINT) % q.shards AS shard
+  FROM sized d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source),
+h0 AS (
+  SELECT number, shard, sum(size) AS shard_size, max(quota) AS total, max(source_size) AS whole
+  FROM dealt GROUP BY number, shard),
+h1 AS (
+  SELECT *, coalesce(total * shard_size / CAST(nullif(whole, 0) AS DOUBLE), 0) AS ideal,
+    count(*) OVER (PARTITION BY number) AS parties FROM h0),
+h2 AS (SELECT *, CAST(floor(ideal + 0.5) AS BIGINT) AS seats FROM h1),
+h3 AS (SELECT *, total - sum(seats) OVER (PARTITION BY number) AS short FROM h2),
+hc AS (
+  SELECT number, shard, sign(short) AS way, abs(short) AS many, row_number() OVER (PARTITION BY number
+    ORDER BY CASE WHEN short > 0 THEN -1 ELSE 1 END
+    * (ideal / (2 * (CASE WHEN short > 0 THEN seats + step ELSE seats - 1 - step END) + 1)), shard, step) AS r
+  FROM (SELECT *, unnest(range(0, CAST(ceil(ideal * parties / (2 * greatest(total, 1))) AS BIGINT) + 2)) AS step
+        FROM h3 WHERE short <> 0)
+  WHERE ideal > 0 AND CASE WHEN short > 0 THEN seats + step ELSE seats - 1 - step END >= 0),
+sh AS (
+  SELECT h3.number, h3.shard, h3.shard_size,
+    CAST(('0x' || substr(md5('mix:' || h3.number || ':' || h3.shard), 1, 8)) AS BIGINT)
+      % CAST(greatest(ceil(h3.shard_size / 8.0), 1) AS BIGINT) * 8 AS b,
+    CAST(least((h3.seats + coalesce(m.moved, 0)) * 8, 3 * h3.shard_size) AS BIGINT) AS words
+  FROM h3 LEFT JOIN (SELECT number, shard, sum(way) AS moved FROM hc WHERE r <= many GROUP BY number, shard) m
+    USING (number, shard)),
+laid AS (
+  SELECT dealt.*, sum(size) OVER (PARTITION BY number, shard ORDER BY place, doc_id, size
+    ROWS UNBOUNDED PRECEDING) AS stop FROM dealt)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(
+    words // nullif(shard_size, 0) * size
+    + greatest(0, least(stop, b + words % nullif(shard_size, 0)) - greatest(stop - size, b))
+    + greatest(0, least(stop, b - shard_size + words % nullif(shard_size, 0))
+        - greatest(stop - size, b - shard_size)), 0) AS BIGINT) AS taken
+FROM laid JOIN sh USING (number, shard)
+"""
+
+
+def op6_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES["op6_line_chunks"] = op6_line_chunks
+ORACLES["op6_line_chunks"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+h AS (
+  SELECT k, doc_id, l, list_transform(l, lambda x: CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT)) AS h
+  FROM d WHERE text IS NOT NULL),
+ln AS (SELECT k, doc_id, unnest(range(1, len(l) + 1)) AS i, l, h FROM h),
+ends AS (
+  SELECT k, doc_id, i, l[i] AS line, coalesce(i >= 3 AND
+    (h[i - 2] % {lines.PRIME} * {lines.BASE} + h[i - 1]) % {lines.PRIME} % {lines.ONE_IN} = 0, FALSE) AS starts FROM ln),
+c AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY k ORDER BY i) AS c FROM ends),
+chunk AS (
+  SELECT k, doc_id, c, min(i) AS i, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM c GROUP BY k, doc_id, c),
+multi AS (SELECT * FROM chunk WHERE n >= 2 AND length(trim(t, ' ')) > 0),
+gone AS (SELECT k, c FROM (SELECT k, c, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r
+  FROM multi) WHERE r > 1),
+marked AS (SELECT chunk.*, gone.k IS NOT NULL AS gone FROM chunk LEFT JOIN gone USING (k, c)),
+kept AS (
+  SELECT k, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed,
+    coalesce(string_agg(CASE WHEN NOT gone THEN t END, chr(10) ORDER BY i), '') AS t
+  FROM marked GROUP BY k)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(kept.t) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
