@@ -51,15 +51,16 @@ def chunk_rows(docs: DataFrame, window: int, one_in: int) -> DataFrame:
 def removed_chunks(docs: DataFrame, window: int, one_in: int, work: Work) -> DataFrame:
     """(doc_id, row_hash, gone): the chunks of each text, as (first, n), of which an earlier copy exists."""
     chunks = chunk_rows(docs, window, one_in).withColumn("hash", F.xxhash64("chunk"))
-    # Hashes alone say which chunks can be copies; only those travel with their bytes.
+    # Joins that move texts are always sort-merge joins: nothing is broadcast on a size that grows,
+    # skewed keys are split, and the plan is the same at every size.
     often = work.store(chunks.groupBy("hash").agg(F.count("*").alias("n"))
                        .where("n > 1").select("hash"), "repeated-hashes")
-    copies = work.store(chunks.join(often, "hash", "left_semi"), "candidates")
+    copies = work.store(chunks.join(often.hint("merge"), "hash", "left_semi"), "candidates")
     where = F.struct("doc_id", "row_hash", "first")
     groups = (copies.groupBy("hash", "chunk").agg(F.count("*").alias("copies"), F.min(where).alias("kept"))
               .where("copies > 1"))
     groups = work.store(groups, "groups")
-    later = copies.alias("c").join(groups.alias("g"), same("c", "g", "hash", "chunk")).where(
+    later = copies.alias("c").join(groups.alias("g").hint("merge"), same("c", "g", "hash", "chunk")).where(
         ~F.struct("c.doc_id", "c.row_hash", "c.first").eqNullSafe(F.col("g.kept")))
     gone = later.groupBy("c.doc_id", "c.row_hash").agg(
         F.collect_set(F.struct("c.first", "c.n")).alias("gone"))
@@ -92,7 +93,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
             lambda i: F.get(lines, i)), "\n")))
     lines = F.when(F.col("d.text").isNull(), 0).otherwise(
         F.length("d.text") - F.length(F.translate("d.text", "\n", "")) + 1)
-    return docs.alias("d").join(gone.alias("g"), on, "left").select(
+    return docs.alias("d").join(gone.alias("g").hint("merge"), on, "left").select(
         *[kept.alias(c) if c.lower() == "text" else F.col(f"d.`{c}`") for c in docs.columns],
         lines.cast("long").alias(n_lines),
         F.coalesce(F.aggregate("g.gone", F.lit(0), lambda s, c: s + c["n"]), F.lit(0))

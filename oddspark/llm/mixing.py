@@ -167,6 +167,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = work.store(copies, "copies")
     on = (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
           & (F.xxhash64("d.text", "d.source") == F.col("c.row_hash")))
-    return (docs.alias("d").join(copies.alias("c"), on)
+    return (docs.alias("d").join(copies.alias("c").hint("merge"), on)
             .select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy"))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     verdicts = quality_rules(docs, least_group).where("kept").select("doc_id", "row_hash").distinct()
     on = (F.col("d.doc_id").eqNullSafe(F.col("v.doc_id"))
           & (F.xxhash64("d.text", "d.lang", "d.source") == F.col("v.row_hash")))
-    return docs.alias("d").join(verdicts.alias("v"), on, "left_semi")
+    return docs.alias("d").join(verdicts.alias("v").hint("merge"), on, "left_semi")
