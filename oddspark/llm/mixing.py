@@ -9,7 +9,7 @@ from oddspark.llm.shared import Work, numbered, same
 #: bring each source closer to its target.
 BLOCK_WORDS = 8
 #: Words of a shard, about. A source of any size is split into so many more shards.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 500_000
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
@@ -44,54 +44,40 @@ def with_targets(work: Work, sources: DataFrame, weights, share: float, most: in
     return placed.withColumn("target", target)
 
 
-def quotients(group: list[str], ideal: str, seats: str, total: Column, parties: Column) -> tuple:
-    """Columns for highest-quotient seats: rounded shares, and the seats around them that may move.
-
-    Rounding each share gives the seats for the divisor total / seats. Reaching the exact total
-    moves a party by its part of half the number of parties, plus one, at most; only so many of
-    its quotients need ranking.
-    """
-    rounded = F.floor(F.col(ideal) + 0.5)
-    reach = F.ceil(F.col(ideal) * parties / (2 * F.greatest(total, F.lit(1)))) + 1
-    return rounded.alias(seats), reach.alias("reach")
-
-
 def apportioned(work: Work, df: DataFrame, name: str, group: list[str], key: list[str],
-                ideal: str, total: Column) -> DataFrame:
+                ideal: str, total: str) -> DataFrame:
     """Sainte-Lague: ``df`` with whole ``seats`` that add up to ``total`` in every group.
 
-    A party with s seats claims the next with share / (2 s + 1); the highest claims win. A missing
-    seat goes to the highest open claim, one too many is taken from the lowest claim met. Ties go
-    by the key.
+    A party with s seats claims the next with share / (2 s + 1); the highest claims win. Rounding
+    each share gives the seats for the divisor total / seats. To reach the exact total, a missing
+    seat goes to the highest open claim, one too many is taken from the lowest claim met. That
+    moves a party by its part of half the number of parties, plus one, at most, so only so many
+    of its claims need ranking. Ties go by the key.
     """
-    in_group = Window.partitionBy(*group) if group else None
-    if group:
-        df = df.withColumn("parties", F.count("*").over(in_group)).withColumn("total", total)
-    base = df.select("*", *quotients(group, ideal, "seats", F.col("total"), F.col("parties")))
-    if group:
-        base = base.withColumn("short", F.col("total") - F.sum("seats").over(in_group))
-    else:
-        short = base.agg(F.coalesce(F.max("total") - F.sum("seats"), F.lit(0))).first()[0]
-        base = base.withColumn("short", F.lit(int(short)))
-    base = work.store(base, f"{name}-rounded")
+    rounded = F.floor(F.col(ideal) + 0.5)
+    groups = df.groupBy(*group).agg(
+        F.count("*").alias("parties"), F.max(total).alias("total"), F.sum(rounded).alias("met"))
+    groups = work.store(groups, f"{name}-groups").withColumn(
+        "short", F.coalesce(F.col("total") - F.col("met"), F.lit(0)))
+    base = df.drop("total").join(groups, group) if group else df.drop("total").crossJoin(groups)
+    reach = F.ceil(F.col(ideal) * F.col("parties") / (2 * F.greatest("total", F.lit(1)))) + 1
+    base = work.store(base.withColumn("seats", rounded).withColumn("reach", reach), f"{name}-rounded")
     step = F.explode(F.sequence(F.lit(0), F.col("reach").cast("int")))
     claims = (base.where("short <> 0").withColumn("step", step)
               .withColumn("seat", F.when(F.col("short") > 0, F.col("seats") + F.col("step"))
                           .otherwise(F.col("seats") - 1 - F.col("step")))
               .where((F.col("seat") >= 0) & (F.col(ideal) > 0))
               .withColumn("claim", F.col(ideal) / (2 * F.col("seat") + 1))
-              .withColumn("order", F.when(F.col("short") > 0, -F.col("claim")).otherwise(F.col("claim"))))
-    order = [F.col("order"), *[F.col(k) for k in key], F.col("step")]
-    if group:
-        claims = claims.withColumn(
-            "number", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-    else:
-        claims = numbered(work, claims, f"{name}-claims", *order)
-    moved = (claims.where(F.col("number") < F.abs("short")).groupBy(*group, *key)
+              .withColumn("order", F.when(F.col("short") > 0, -F.col("claim")).otherwise(F.col("claim")))
+              .select(*group, *key, "short", "step", "order"))
+    claims = numbered(work, claims, f"{name}-claims", *map(F.col, [*group, "order", *key, "step"]))
+    first = claims.groupBy(*group).agg(F.min("number").alias("first"))
+    claims = claims.join(first, group) if group else claims.crossJoin(first)
+    moved = (claims.where(F.col("number") - F.col("first") < F.abs("short")).groupBy(*group, *key)
              .agg(F.sum(F.signum("short")).cast("long").alias("moved")))
     return (base.alias("p").join(moved.alias("m"), same("p", "m", *group, *key), "left")
             .select("p.*", (F.col("seats") + F.coalesce("moved", F.lit(0))).alias("won"))
-            .drop("seats", "reach", "short").withColumnRenamed("won", "seats"))
+            .drop("seats", "reach", "short", "parties", "met").withColumnRenamed("won", "seats"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS,
@@ -117,11 +103,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")), "sized")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = work.store(with_targets(work, per_source, weights, share, most), "targets")
-    n, blocks = sources.agg(F.count("*"), F.floor(F.sum("target") / block_words + 0.5)).first()
+    blocks = sources.agg(F.floor(F.sum("target") / block_words + 0.5)).first()[0]
     sources = apportioned(
         work, sources.withColumn("ideal", F.col("target") / block_words)
-        .withColumn("total", F.lit(int(blocks or 0))).withColumn("parties", F.lit(n)),
-        "sources", [], ["party"], "ideal", F.col("total")).select(
+        .withColumn("total", F.lit(int(blocks or 0))), "sources", [], ["party"], "ideal", "total").select(
         "source", "party", "source_size", "target", F.col("seats").alias("quota"),
         F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).alias("shards"))
     sources = work.store(sources, "quotas")
@@ -135,7 +120,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int
     shards = apportioned(
         work, shards.withColumn("ideal", F.coalesce(
             F.col("quota") * F.col("shard_size") / F.nullif("all", F.lit(0)), F.lit(0.0))),
-        "shards", ["party"], ["shard"], "ideal", F.max("quota").over(Window.partitionBy("party")))
+        "shards", ["party"], ["shard"], "ideal", "quota")
     size, block = F.col("shard_size"), F.lit(block_words)
     begin = seeded(F.lit(seed), "party", "shard") % F.greatest(F.ceil(size / block), F.lit(1)) * block
     shards = work.store(shards.select(
