@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.llm import lines, mixing, quality, urls, warc
+from oddspark.llm import lines, mixing, quality, toxicity, urls, warc
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,11 @@ def op4_url_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op4_url_models"] = op4_url_models
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return toxicity.score_toxicity(docs, labels)
+
+
+QUERIES["op1_toxicity"] = op1_toxicity
