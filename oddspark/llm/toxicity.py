@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 #: Labelled documents that the field is fitted on, per label: a bounded sample, by checksum of the
 #: doc_id. Everything else is scored whole.
-SAMPLE = {1: 1000, 0: 3000}
+SAMPLE = {1: 800, 0: 2000}
 #: A chain is a sentence; the rare longer ones are cut after so many tokens.
 LONGEST = 64
 BUCKETS = 1 << 20
