@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.llm import lines, mixing, quality, toxicity, urls, warc
+from oddspark.llm import covertree, lines, mixing, quality, toxicity, urls, warc
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,23 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op8_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.link_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES["op8_cover_tree"] = op8_cover_tree
+ORACLES["op8_cover_tree"] = """
+WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM d
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links,
+  least(vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = vec_id), vec_id)) AS component_id,
+  vec_id <= coalesce((SELECT min(b) FROM reach r WHERE r.a = vec_id), vec_id) AS kept
+FROM embeddings
+"""
