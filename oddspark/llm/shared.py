@@ -74,6 +74,7 @@ def components(work: Work, links: DataFrame) -> DataFrame:
     Every round a node takes the smallest label among its neighbours, then the label of its label,
     so that long chains halve. Each round is stored; the driver sees one count a round.
     """
+    work = Work(work.spark, "components")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = work.store(both.where("a <> b").distinct(), "links-both-ways")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
