@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.llm import covertree, lines, minhash, mixing, quality, toxicity, urls, warc
+from oddspark.llm import covertree, lines, minhash, mixing, packing, quality, toxicity, urls, warc
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +273,10 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w
   w.doc_id <= coalesce(c.b, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
 """
+
+
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
