@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.llm import covertree, lines, minhash, mixing, packing, quality, toxicity, urls, warc
+from oddspark.llm import covertree, lines, minhash, mixing, packing, quality, suffixes, toxicity, urls, warc
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +280,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op2_best_fit_packing"] = op2_best_fit_packing
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.dedup_strings(table(spark, folder, "documents")).drop("kept")
+
+
+QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
