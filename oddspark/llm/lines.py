@@ -98,3 +98,11 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
         lines.cast("long").alias(n_lines),
         F.coalesce(F.aggregate("g.gone", F.lit(0), lambda s, c: s + c["n"]), F.lit(0))
         .cast("long").alias(n_removed))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns: texts without repeated chunks, n_chars counted anew if there."""
+    done = dedup_lines(docs)
+    return done.select(*[
+        F.length("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`")
+        for c in docs.columns])
