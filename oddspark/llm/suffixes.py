@@ -14,7 +14,7 @@ from oddspark.llm.shared import Work
 #: the cover (fixed values).
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 #: Names of a bucket that one task compares, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Bytes of a name that travel; the bucket holds the leading bits.
 SENT = {"names": 6, "strings": 7}
 
@@ -73,6 +73,7 @@ def unplaned(data: bytes, width: int) -> np.ndarray:
 
 SENT_ROWS = "bucket int, known boolean, keys binary, owner binary, place binary, name binary"
 FOUND = "key long, places binary"
+PACKED = "slot int, keys binary, sizes binary, places binary"
 
 
 def dealt(name, owner, place, keys, buckets: int, width: int):
@@ -106,17 +107,42 @@ def dealt(name, owner, place, keys, buckets: int, width: int):
     return sent, owner[twice], place[twice]
 
 
-def per_key(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """One row per text: its places, ascending."""
+def per_key(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how many places each has, and all places in that order, ascending per key."""
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    starts = np.concatenate([[0], cut]).astype(int) if len(keys) else np.zeros(0, int)
-    data = [planes(p, 4) for p in np.split(places, cut)] if len(keys) else []
-    return pa.RecordBatch.from_arrays([pa.array(keys[starts].astype(np.int64)), pa.array(data, pa.binary())], ["key", "places"])
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[starts], np.diff(np.append(starts, len(keys))), places
 
 
-def compared(width: int, repeated: bool):
+def packed(keys: np.ndarray, places: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Places of many texts as a row per slot; a text always falls into the same one."""
+    slot = (keys.view(np.uint64) % np.uint64(slots)).astype(np.int32)
+    order = np.argsort(slot, kind="stable")
+    rows = []
+    for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+        if len(part):
+            own, sizes, found = per_key(keys[part], places[part])
+            rows.append((int(slot[part[0]]), own.tobytes(), planes(sizes, 4), planes(found, 4)))
+    columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+        ["slot", "keys", "sizes", "places"])
+
+
+def unpacked(batches):
+    """Rows sorted by slot -> one row per text, with all of its places."""
+    for table, starts in whole_groups(batches, ["slot"]):
+        columns = [table.column(c).to_pylist() for c in ("keys", "sizes", "places")]
+        for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+            keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), unplaned(n, 4).astype(np.int64))
+                                   for k, n in zip(columns[0][s:e], columns[1][s:e], strict=True)])
+            own, sizes, places = per_key(keys, np.concatenate([unplaned(p, 4) for p in columns[2][s:e]]))
+            data = [planes(p, 4) for p in np.split(places, np.cumsum(sizes)[:-1])] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(data, pa.binary())], ["key", "places"])
+
+
+def compared(width: int, repeated: bool, slots: int):
     """Buckets -> the places whose name another place has, or with ``repeated`` off, those without."""
     def run(batches):
         for table, starts in whole_groups(batches, ["bucket"]):
@@ -136,15 +162,19 @@ def compared(width: int, repeated: bool):
                 group = np.concatenate([[0], np.cumsum(~equal)])
                 hit = (np.bincount(group[1:], differ, group[-1] + 1) + np.bincount(group, known, group[-1] + 1)) > 0
                 chosen = hit[group] == repeated
-                yield per_key(key[chosen], place[chosen].astype(np.int64))
+                yield packed(key[chosen], place[chosen].astype(np.int64), slots)
 
     return run
 
 
-def bucketed(sent: DataFrame, width: int, repeated: bool) -> DataFrame:
-    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(compared(width, repeated), FOUND))
+def by_bucket(df: DataFrame, column: str, run, schema: str) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, column).sortWithinPartitions(column).mapInArrow(run, schema)
+
+
+def bucketed(sent: DataFrame, width: int, repeated: bool, slots: int) -> DataFrame:
+    """(key, places) of the names that repeat, or of those that don't."""
+    return by_bucket(by_bucket(sent, "bucket", compared(width, repeated, slots), PACKED), "slot", unpacked, FOUND)
 
 
 def joined_text(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +184,7 @@ def joined_text(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def slices(batches, rows: int = 1000):
+def slices(batches, rows: int = 300):
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
@@ -217,16 +247,15 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
 
     # Places found within a batch travel beside the names, in buckets of their own.
     def local(keys, places):
-        found = per_key(keys, places)
-        n = len(found)
+        rows = packed(keys, places, buckets)
+        n = rows.num_rows
         return pa.RecordBatch.from_arrays(
-            [pa.array((-1 - np.abs(np.array(found.column("key"))) % 997).astype(np.int32)), pa.array([True] * n, pa.bool_()),
-             pa.array([k.tobytes() for k in np.array(found.column("key"))], pa.binary()), pa.array([b""] * n, pa.binary()),
-             found.column("places"), pa.array([b""] * n, pa.binary())], SENT_NAMES)
+            [pa.array(-1 - np.array(rows.column("slot")), pa.int32()), pa.array([True] * n, pa.bool_()), rows.column("keys"),
+             rows.column("sizes"), rows.column("places"), pa.array([b""] * n, pa.binary())], SENT_NAMES)
 
     sent = ready.select("key", "text").mapInArrow(named, SENT_ROWS)
-    hits = work.store(passed_on(sent, SENT["names"], True), "hits")
-    hits = hits.groupBy("key").agg(F.collect_list("places").alias("places"))
+    hits = by_bucket(sent, "bucket", passed_on(compared(SENT["names"], True, buckets)), PACKED)
+    hits = work.store(by_bucket(hits, "slot", unpacked, FOUND), "hits")
 
     def stringed(batches):
         powers, last = Powers(), None
@@ -239,7 +268,7 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
                 continue
             keys, (data, bounds) = keys[new], joined_text(batch)
             sums = prefix_sums(data, powers)
-            at = [candidates(int(n), places_of(p), length)
+            at = [candidates(int(n), unplaned(p, 4).astype(np.int64), length)
                   for n, p in zip(np.diff(bounds), batch.column("places").to_pylist(), strict=True)]
             owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
             place = np.concatenate(at)
@@ -248,8 +277,8 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
 
     met = ready.select("key", "text").join(hits.hint("merge"), "key")
     # What returns are the candidates that do not repeat, the fewer ones.
-    single = work.store(bucketed(met.mapInArrow(stringed, SENT_ROWS), SENT["strings"], False), "single")
-    single = single.groupBy("key").agg(F.collect_list("places").alias("single"))
+    single = work.store(bucketed(met.mapInArrow(stringed, SENT_ROWS), SENT["strings"], False, buckets), "single")
+    single = single.withColumnRenamed("places", "single")
     marks = work.store(classes.join(hits, "key", "left").join(single, "key", "left").where(
         "copies > 1 or places is not null").select("key", "copies", "places", "single"), "marks")
     work.drop("hits", "single")
@@ -262,8 +291,8 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
                 if copies is not None and copies > 1 and len(raw) >= length:
                     spans = [(0, len(raw))]
                 elif places:
-                    starts = candidates(len(raw), places_of(places), length)
-                    starts = np.setdiff1d(starts, places_of(alone or []), assume_unique=True)
+                    starts = candidates(len(raw), unplaned(places, 4).astype(np.int64), length)
+                    starts = np.setdiff1d(starts, unplaned(alone or b"", 4).astype(np.int64), assume_unique=True)
                     spans = removed_spans(len(raw), starts, length)
                 kept, at = [], 0
                 for a, b in spans:
@@ -285,25 +314,19 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
 SENT_NAMES = [x.split()[0] for x in SENT_ROWS.split(", ")]
 
 
-def places_of(parts: list[bytes]) -> np.ndarray:
-    """Distinct places from the planes that several buckets returned."""
-    found = [unplaned(p, 4) for p in parts]
-    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
-
-
-def passed_on(sent: DataFrame, width: int, repeated: bool) -> DataFrame:
-    """Compared buckets, and the rows of places that were known before, as they are."""
-    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = compared(width, repeated)
-
+def passed_on(run):
+    """Compared buckets, and the places that were known before as they are."""
     def both(batches):
         def names_only():
             for batch in batches:
-                before = batch.filter(pa.array(np.array(batch.column("bucket")) < 0))
-                if before.num_rows:
-                    keys = np.array([np.frombuffer(k, np.int64)[0] for k in before.column("keys").to_pylist()], np.int64)
-                    ready.append(pa.RecordBatch.from_arrays([pa.array(keys), before.column("place")], ["key", "places"]))
-                rest = batch.filter(pa.array(np.array(batch.column("bucket")) >= 0))
+                before = np.array(batch.column("bucket")) < 0
+                rows = batch.filter(pa.array(before))
+                if rows.num_rows:
+                    slot = pa.array(-1 - np.array(rows.column("bucket")), pa.int32())
+                    ready.append(pa.RecordBatch.from_arrays(
+                        [slot, rows.column("keys"), rows.column("owner"), rows.column("place")],
+                        ["slot", "keys", "sizes", "places"]))
+                rest = batch.filter(pa.array(~before))
                 if rest.num_rows:
                     yield rest
 
@@ -314,4 +337,4 @@ def passed_on(sent: DataFrame, width: int, repeated: bool) -> DataFrame:
             yield found
         yield from ready
 
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(both, FOUND)
+    return both
