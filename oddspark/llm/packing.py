@@ -33,6 +33,20 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def coded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that begin with a space each, and how many each has.
+
+        They are coded as long texts; as a space stands only before a word, an id whose token
+        begins with one begins a word.
+        """
+        texts = ["".join(words[k:k + 5000]) for k in range(0, len(words), 5000)]
+        flat = np.array([i for ids in self.coded(texts) for i in ids], np.uint32)
+        begin = np.flatnonzero(self.spaced[flat])
+        return flat, np.diff(np.append(begin, len(flat)))
 
     def coded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -45,17 +59,25 @@ class Coder:
         owner, words = np.asarray(pc.list_parent_indices(lists)), pc.list_flatten(lists)
         first = np.ones(len(owner), bool)
         first[1:] = owner[1:] != owner[:-1]
-        spaced = pc.if_else(pa.array(first), words, pc.binary_join_element_wise(
-            pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string())))
-        kept = ~(np.isin(owner, whole) | (first & np.asarray(pc.equal(words, ""), bool)))
-        owner, known = owner[kept], pc.dictionary_encode(spaced.filter(pa.array(kept)))
-        codes = self.coded(known.dictionary.to_pylist()) + self.coded(texts.take(pa.array(whole)).to_pylist())
-        index = np.concatenate([known.indices.to_numpy(), len(known.dictionary) + np.arange(len(whole))]).astype(np.int64)
-        owner = np.concatenate([owner, whole])
+        kept = ~(np.isin(owner, whole) | first)
+        spaced = pc.binary_join_element_wise(
+            pa.scalar("", pa.large_string()), words.filter(pa.array(kept)), pa.scalar(" ", pa.large_string()))
+        known = pc.dictionary_encode(spaced)
+        flat, sizes = self.coded_words(known.dictionary.to_pylist())
+        # First words have no space before them; they and uneven texts are coded one by one.
+        alone = first & ~np.isin(owner, whole)
+        single = self.coded(words.filter(pa.array(alone)).to_pylist() + texts.take(pa.array(whole)).to_pylist())
+        sizes = np.concatenate([sizes, [len(c) for c in single]]).astype(np.int64)
+        flat = np.concatenate([flat, np.array([i for c in single for i in c], np.uint32)])
+        rank = np.flatnonzero(alone)
+        index = np.zeros(len(owner), np.int64)
+        index[kept] = known.indices.to_numpy()
+        index[rank] = len(known.dictionary) + np.arange(len(rank))
+        used = kept | alone
+        index = np.concatenate([index[used], len(known.dictionary) + len(rank) + np.arange(len(whole))])
+        owner = np.concatenate([owner[used], whole])
         order = np.argsort(owner, kind="stable") if len(whole) else slice(None)
         owner, index = owner[order], index[order]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        flat = np.array([i for c in codes for i in c], np.uint32)
         begin = np.cumsum(sizes) - sizes
         n = sizes[index]
         stop = np.cumsum(n)
@@ -69,8 +91,8 @@ def cut(path: str, capacity: int, end: int):
     def run(batches):
         coder = Coder(path)
         for large in batches:
-            for lo in range(0, large.num_rows, 2000):
-                batch = large.slice(lo, 2000)
+            for lo in range(0, large.num_rows, 4000):
+                batch = large.slice(lo, 4000)
                 flat, bounds = coder(batch.column("text"))
                 rows, spans, data = [], [], []
                 for k in range(batch.num_rows):

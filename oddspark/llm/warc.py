@@ -276,7 +276,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         return [Archive(*f) for f in files_of(*place(self.path))]
 
-    def read(self, partition: Archive):
+    def read(self, partition: Archive | None):
+        if partition is None:  # Spark's stand-in for a folder without archives
+            return
         system, root = place(self.path)
         path = posixpath.join(root, partition.name) if partition.name else root
         body = bool({"payload", "payload_length", "read_digest"} & set(self.names))
