@@ -190,3 +190,6 @@ KNOWN_SIGNALS = [
 # The embedding width and the largest batch an encoder is given.
 EMBEDDING_DIM = 1024
 ENCODER_BATCH = 128
+
+#: Text that is a number, spaces around it allowed.
+PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"

@@ -10,7 +10,12 @@ from oddspark import fixed_values as V
 
 
 def lenient_cast(value: Column, kind: str) -> Column:
-    """``value`` as ``kind``, null where it does not parse."""
+    """``value`` as ``kind``, null where it does not parse.
+
+    Numbers must be written as such: a cast alone takes the suffixes of Java literals (``12d``).
+    """
+    if kind in ("double", "float"):
+        value = F.when(value.rlike(V.PLAIN_NUMBER), value)
     return value.try_cast(kind)
 
 
@@ -66,11 +71,11 @@ def any_of(value: Column, wanted: list | None) -> list[Column]:
 def like_contains_ci(columns: list[Column], key: str | None) -> list[Column]:
     """Case-insensitive ``LIKE %key%`` on any of the columns; no key is no condition.
 
-    ``%`` and ``_`` in the key stay wildcards.
+    ``%`` and ``_`` in the key stay wildcards; a backslash stands for itself.
     """
     if not key:
         return []
-    pattern = f"%{key.lower()}%"
+    pattern = "%" + key.lower().replace("\\", "\\\\") + "%"
     hits = [F.lower(c).like(pattern) for c in columns]
     return [reduce(lambda x, y: x | y, hits)]
 

@@ -42,7 +42,8 @@ def score_answers(
     no_terms = F.array().cast("array<string>")
     edge = F.col("category") == V.EDGE_CATEGORY
     accepted = F.col("_accepted")
-    routed = (F.size(accepted) == 0) | F.arrays_overlap("called_tools", accepted)
+    routed = (F.size(accepted) == 0) | F.coalesce(
+        F.arrays_overlap("called_tools", accepted), F.lit(False))
     return (
         answers.join(wanted, on)
         .withColumns({

@@ -11,11 +11,14 @@ from oddspark import fixed_values as V
 def discover_table_files(
     spark: SparkSession, root: str, tables: list[str] = V.RAW_TABLES, suffix: str = ".txt"
 ) -> DataFrame:
-    """One file per table and quarter below ``root/<quarter>/``: ``table_name, faers_quarter, path``.
+    """Every file of a table below ``root/<quarter>/``: ``table_name, faers_quarter, path``.
 
-    A file belongs to a table when its name starts with the table's; of several the first path
-    counts. A table without a file has no row. Only the listing is read, not the files.
+    A file belongs to a table when its name starts with the table's; a quarter may come in several.
+    A table without a file has no row. The root may be a plain path or a URI. Only the listing is
+    read, not the files.
     """
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    start = plain(F.lit(root.rstrip("/") + "/"))
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -23,17 +26,16 @@ def discover_table_files(
         .load(root)
         .select("path")
         .withColumn("_file", F.element_at(F.split("path", "/"), -1))
-        .withColumn("_below", F.substring_index("path", f"{root.rstrip('/')}/", -1))
+        .withColumn("_plain", plain(F.col("path")))
+        .withColumn("_at", F.instr("_plain", start))
+        .withColumn("_below", F.expr("substring(_plain, _at)"))
+        .withColumn("_below", F.substring("_below", F.length(start) + 1, F.length("_below")))
         .withColumn("faers_quarter", F.substring_index("_below", "/", 1))
     )
     names = F.filter(
         F.array(*[F.lit(t) for t in tables]), lambda t: F.startswith(F.col("_file"), t)
     )
-    return (
-        found.withColumn("table_name", F.explode(names))
-        .groupBy("table_name", "faers_quarter")
-        .agg(F.min("path").alias("path"))
-    )
+    return found.select(F.explode(names).alias("table_name"), "faers_quarter", "path")
 
 
 def scan_delimited(spark: SparkSession, path: str | list[str], sep: str = "$") -> DataFrame:
@@ -86,10 +88,10 @@ def parse_quarters(
 ) -> dict[str, DataFrame]:
     """Every table found below ``root``, all quarters together.
 
-    The driver sees one path per table and quarter, never rows. Files of different quarters may
+    The driver sees the paths, never rows. Files of different quarters may
     order their columns differently, so each is read with its own header.
     """
-    files = discover_table_files(spark, root, tables, suffix).orderBy("table_name", "faers_quarter")
+    files = discover_table_files(spark, root, tables, suffix).orderBy("table_name", "faers_quarter", "path")
     parts: dict[str, list[DataFrame]] = {}
     for row in files.collect():
         part = parse_table(spark, row["path"], row["faers_quarter"])

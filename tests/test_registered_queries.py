@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from oddspark.checks import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -35,7 +36,7 @@ def canonical(names, table):
     return sorted(names), sorted(plain, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, sql, name):
     df = entry.queries()[name](spark, FOLDER)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
@@ -52,4 +53,5 @@ def test_entry(spark):
 
 
 def test_every_query_but_the_encoder_search_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"term_search_by_text"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"term_search_by_text"}
+    assert set(registry.QUERIES) <= set(entry.queries())
