@@ -1,20 +1,46 @@
 """Results of keyed inserts, as plain DataFrames."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def new_rows(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows whose key is not there yet, one per key."""
-    return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
 
+def one_per_key(
+    df: DataFrame, key: list[str], order: list[str], pick: Callable[[Column], Column]
+) -> DataFrame:
+    """The least or greatest row of each key by ``order``, then by all other columns.
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    So the choice among duplicates does not depend on the order in which tasks finish.
+    """
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.dropDuplicates(key)
+    ranks = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    row = pick(F.struct(*ranks, *rest)).alias("_row")
+    chosen = df.groupBy(*key).agg(row).select(*key, *[F.col("_row")[c].alias(c) for c in rest])
+    return chosen.select(*df.columns)
+
+
+def new_rows(
+    existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """Incoming rows whose key is not there yet, the first of each key."""
+    first = one_per_key(incoming, key, order or [], F.min)
+    return first.join(existing.select(*key), key, "left_anti")
+
+
+def insert_ignore(
+    existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None
+) -> DataFrame:
     """The table after inserting and leaving present keys alone."""
-    return existing.unionByName(new_rows(existing, incoming, key).select(*existing.columns))
+    return existing.unionByName(new_rows(existing, incoming, key, order).select(*existing.columns))
 
 
-def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """The table after inserting or replacing by key."""
-    latest = incoming.dropDuplicates(key)
+def upsert_by_key(
+    existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """The table after inserting or replacing by key; of several incoming rows the last one wins."""
+    latest = one_per_key(incoming, key, order or [], F.max)
     kept = existing.join(latest.select(*key), key, "left_anti")
     return kept.unionByName(latest.select(*existing.columns))

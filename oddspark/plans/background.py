@@ -14,7 +14,7 @@ from oddspark.operators.dedupe import (
     valid_reports,
 )
 from oddspark.operators.pairing import join_within
-from oddspark.workspace import materialize
+from oddspark.workspace import delete_folder, new_folder, stored, stored_values
 
 TABLES = ("quarter_totals", "drug_totals", "event_totals", "drug_event_counts")
 
@@ -109,27 +109,45 @@ def write_background(
     """Build and store the four tables below ``path`` and return the stored ones.
 
     The valid reports and the two tables of distinct pairs each feed several of the results, so
-    they are written to the shared folder once. Re-running replaces the tables, and only the
-    quarters that the input holds. Rows are gathered by quarter before the write, large quarters
-    split and small ones joined, so that the number of files follows the size of the result.
+    they are written to the shared folder once, and deleted at the end. Re-running replaces the
+    quarters that ``demo`` holds, also those that no longer have a count; others stay. With
+    ``scope="all"`` a case counts in one quarter only, so ``demo`` must hold every stored quarter.
+    Rows are gathered by quarter before the write, large quarters split and small ones joined, so
+    that the number of files follows the size of the result.
     """
-    spark = demo.sparkSession
+    spark, made = demo.sparkSession, new_folder(demo.sparkSession, "background")
+    held = _quarters(demo)
+    if scope == "all":
+        left = set().union(*[stored_values(spark, f"{path}/{t}", "faers_quarter") for t in TABLES]) - held
+        if left:
+            raise ValueError(f"stored quarters are not in the input: {', '.join(sorted(left))}")
     results = _background(
-        materialize(valid_reports(demo, scope), "valid-reports"),
-        materialize(report_drugs(drug), "report-drugs"),
-        materialize(report_events(reac), "report-events"),
+        stored(valid_reports(demo, scope), f"{made}/valid-reports"),
+        stored(report_drugs(drug), f"{made}/report-drugs"),
+        stored(report_events(reac), f"{made}/report-events"),
     )
     for table in TABLES:
+        result = stored(getattr(results, table).hint("rebalance", "faers_quarter"), f"{made}/{table}")
         (
-            getattr(results, table)
-            .hint("rebalance", "faers_quarter")
+            result.hint("rebalance", "faers_quarter")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("faers_quarter")
             .parquet(f"{path}/{table}")
         )
+        gone = held - _quarters(result)
+        for quarter, folder in stored_values(spark, f"{path}/{table}", "faers_quarter").items():
+            if quarter in gone:
+                delete_folder(spark, folder)
+    delete_folder(spark, made)
     return read_background(spark, path)
 
 
+def _quarters(df: DataFrame) -> set[str]:
+    """The quarters of a table, four a year."""
+    rows = df.select(F.col("faers_quarter").cast("string")).distinct().collect()
+    return {r[0] for r in rows if r[0] is not None}
+
+
 def read_background(spark: SparkSession, path: str) -> Background:
     return Background(**{t: spark.read.parquet(f"{path}/{t}") for t in TABLES})

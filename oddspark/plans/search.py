@@ -62,8 +62,13 @@ def missing_terms(reactions: DataFrame, embeddings: DataFrame) -> DataFrame:
 def embed_missing(
     reactions: DataFrame, embeddings: DataFrame, encoder: Encoder = hashing_encoder
 ) -> DataFrame:
-    """Vectors of the terms that lack one, to be upserted by ``pt``."""
-    return embed_terms(missing_terms(reactions, embeddings), encoder)
+    """Vectors of the terms that lack one, to be upserted by ``pt``.
+
+    The terms are dealt out by name: small shuffles would otherwise be joined before the encoder,
+    which is the costly step.
+    """
+    parts = int(reactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return embed_terms(missing_terms(reactions, embeddings).repartition(parts, "pt"), encoder)
 
 
 def refresh_embeddings(
@@ -93,10 +98,12 @@ def similarities(corpus: DataFrame, queries: DataFrame, packed: int = PACKED_QUE
     The number of queries is looked up first. Few queries travel as one packed value next to the
     corpus, which is read in place and not shuffled. Many queries are packed into blocks; the
     corpus is dealt into one share per shuffle partition and meets every block in every share.
+    A column ``query_id``, if there is one, tells vectors of the same text apart and is kept.
     """
+    own = [c for c in ("query_id", "query") if c in queries.columns]
     exact = queries.withColumn("vector", F.col("vector").cast("array<double>"))
     normed = exact.withColumn("_norm", norm(F.col("vector")))
-    pack = F.collect_list(F.struct("query", "vector", "_norm")).alias("_queries")
+    pack = F.collect_list(F.struct(*own, "vector", "_norm")).alias("_queries")
     wide = corpus.select("pt", F.col("embedding").cast("array<double>").alias("embedding"))
     terms = wide.withColumn("_norm", norm(F.col("embedding")))
     n_queries = queries.count()
@@ -106,7 +113,7 @@ def similarities(corpus: DataFrame, queries: DataFrame, packed: int = PACKED_QUE
         n_blocks = -(-n_queries // packed)
         n_shares = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = (
-            normed.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int"))
+            normed.withColumn("_block", F.pmod(F.xxhash64(*own), F.lit(n_blocks)).cast("int"))
             .groupBy("_block")
             .agg(pack)
             .withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1))))
@@ -118,14 +125,14 @@ def similarities(corpus: DataFrame, queries: DataFrame, packed: int = PACKED_QUE
     scored = F.transform(
         "_queries",
         lambda q: F.struct(
-            q["query"].alias("query"),
+            *[q[c].alias(c) for c in own],
             F.try_divide(
                 dot(F.col("embedding"), q["vector"]), F.col("_norm") * q["_norm"]
             ).alias("similarity"),
         ),
     )
     return paired.select("pt", F.explode(scored).alias("hit")).select(
-        "hit.query", "pt", "hit.similarity"
+        *[f"hit.{c}" for c in own], "pt", "hit.similarity"
     )
 
 
@@ -134,9 +141,14 @@ def semantic_event_search(
 ) -> DataFrame:
     """The terms closest to each query: ``query, pt, similarity, rank``.
 
-    The similarity bound applies after the top k are taken, so fewer may remain.
+    The similarity bound applies after the top k are taken, so fewer may remain. Every row of
+    ``queries`` has a ranking of its own, also if texts are equal; a ``query_id`` is returned too.
     """
     if not 1 <= top_k <= 30:
         raise ValueError("top_k is 1 to 30")
-    best = top_n_per(similarities(corpus, queries), "query", "similarity", top_k, "pt")
-    return best.filter(F.col("similarity") >= min_similarity)
+    named = "query_id" in queries.columns
+    if not named:
+        queries = queries.withColumn("query_id", F.monotonically_increasing_id())
+    best = top_n_per(similarities(corpus, queries), "query_id", "similarity", top_k, "pt")
+    best = best.filter(F.col("similarity") >= min_similarity)
+    return best if named else best.drop("query_id")

@@ -8,30 +8,40 @@ from oddspark.functions.metrics import FLAGS, METRICS
 BEST = ["a", "prr", "ror", "ror_ci_low", "ror_ci_high", "ic", "ic_ci_low"]
 
 
-def fixture_left_join(fixture: DataFrame, signals: DataFrame) -> DataFrame:
+def fixture_left_join(fixture: DataFrame, signals: DataFrame, *carried: str) -> DataFrame:
     """Every known item with its candidate signals; items without any stay."""
     wanted = fixture.select(
-        "id", "drug", F.explode_outer(F.array_distinct("event_pts")).alias("event_pt")
+        "id", "drug", *carried, F.explode_outer(F.array_distinct("event_pts")).alias("event_pt")
     )
     stored = signals.select(F.col("drug_key").alias("drug"), "event_pt", "a", *METRICS, *FLAGS)
     return wanted.join(stored, ["drug", "event_pt"], "left")
 
 
 def best_match_per_item(fixture: DataFrame, signals: DataFrame) -> DataFrame:
-    """Per item all matches, the highest information component first.
+    """Per item, with its own columns, all matches, the highest information component first.
 
-    An item has at most as many matches as it lists events, so the list stays short.
+    Items are told apart by their place in the list, so a missing or shared id mixes nothing. An
+    item has at most as many matches as it lists events, so the list stays short.
     """
     order = [F.col("ic").isNull().alias("_missing"), (-F.col("ic")).alias("_falling")]
     match = F.struct(*order, "event_pt", "a", *METRICS, *FLAGS)
+    numbered = fixture.select(
+        "*",
+        F.monotonically_increasing_id().alias("_number"),
+        F.struct(*fixture.columns).alias("_item"),
+    )
     grouped = (
-        fixture_left_join(fixture, signals)
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), match))).alias("matches"))
+        fixture_left_join(numbered, signals, "_number", "_item")
+        .groupBy("_number")
+        .agg(
+            F.first("_item").alias("_item"),
+            F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), match))).alias("matches"),
+        )
     )
     fields = ["event_pt", "a", *METRICS, *FLAGS]
-    return grouped.withColumn(
-        "matches", F.transform("matches", lambda m: F.struct(*[m[f].alias(f) for f in fields]))
+    return grouped.select(
+        "_item.*",
+        F.transform("matches", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("matches"),
     )
 
 
@@ -48,7 +58,7 @@ def validate_known_signals(fixture: DataFrame, signals: DataFrame) -> DataFrame:
     best = F.try_element_at("matches", F.lit(1))
     flags = [F.coalesce(best[f], F.lit(False)).alias(f) for f in FLAGS]
     return (
-        fixture.join(best_match_per_item(fixture, signals), "id")
+        best_match_per_item(fixture, signals)
         .select(
             "id",
             "drug",

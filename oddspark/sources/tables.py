@@ -84,8 +84,14 @@ def publish_reconciled(
     """Copy the listed columns of the listed tables, in order, then compare row counts.
 
     An empty source is skipped and leaves the target as it is. Returns
-    ``table_name, n_source, n_target, status`` with status OK, WARNING or SKIPPED.
+    ``table_name, n_source, n_target, status`` with status OK, WARNING or SKIPPED. Tables without
+    listed columns are refused before anything is written.
     """
+    unknown = sorted(set(tables) - set(columns))
+    if unknown:
+        raise ValueError(f"no columns are listed for {', '.join(unknown)}")
+    if not tables:
+        raise ValueError("no tables to publish")
     published = [t for t in columns if t in tables]
     reports = []
     for table in published:

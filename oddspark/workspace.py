@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Used where several results read one expensive intermediate. The written table survives the
     loss of executors, and Parquet keeps column pruning for the readers.
     """
-    path = new_folder(df.sparkSession, name)
+    return stored(df, new_folder(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a new folder and read it back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _on_disk(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    files, folder = _on_disk(spark, path)
+    files.delete(folder, True)
+
+
+def stored_values(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """The values of a table's partition column and their folders; none if there is no table."""
+    files, folder = _on_disk(spark, path)
+    if not files.exists(folder):
+        return {}
+    found = {}
+    for status in files.listStatus(folder):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == column:
+            found[unquote(value)] = status.getPath().toString()
+    return found
+
+
 def local_table(spark: SparkSession, records: list[dict], schema: T.StructType) -> DataFrame:
     """A table of records that the caller holds; missing fields are null.
 
