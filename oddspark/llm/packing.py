@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import public_tokenizers
@@ -113,34 +114,46 @@ def cut(path: str, capacity: int, end: int):
     return run
 
 
-SWEEP = "part int, what string, gap long, gap_size int, piece long, piece_size int, place long"
+SWEEP = "part int, what string, gap long, gap_size int, piece long, piece_size int, place long, rest int"
 
 
 def swept(batches):
-    """Matches within one sorted range: each gap takes the largest piece so far that fits.
+    """Matches within one sorted range: each gap takes the largest piece so far that fits, as often as one does.
 
-    Ascending by size, pieces before gaps of the same size; a stack holds the pieces met, so
-    a gap takes the nearest below. What finds no mate is returned with its place: gaps
-    from the front, pieces from the bottom of the stack.
+    Ascending by size, pieces before gaps of the same size; stacks by size hold the pieces met, so
+    a gap takes the nearest below, then the nearest below what is left of it. The last piece of a gap
+    carries the rest. What finds no mate is returned with its place: gaps from the front, pieces
+    by size.
     """
-    part, stack, found, early = TaskContext.get().partitionId(), [], [], 0
+    part, stacks, sizes, found, early = TaskContext.get().partitionId(), {}, [], [], 0
     for batch in batches:
         for kind, size, name in zip(*[batch.column(c).to_pylist() for c in ("kind", "size", "id")], strict=True):
             if kind == 0:
-                stack.append((name, size))
-            elif stack:
-                piece, fits = stack.pop()
-                found.append((part, "match", name, size, piece, fits, None))
-            else:
-                found.append((part, "gap", name, size, None, None, early))
+                if not sizes or sizes[-1] != size:
+                    sizes.append(size)
+                    stacks[size] = []
+                stacks[size].append(name)
+            elif not sizes:
+                found.append((part, "gap", name, size, None, None, early, None))
                 early += 1
+            else:
+                room, taken = size, []
+                while at := bisect_right(sizes, room):
+                    fits = sizes[at - 1]
+                    taken.append([part, "match", name, room, stacks[fits].pop(), fits, None, None])
+                    room -= fits
+                    if not stacks[fits]:
+                        del sizes[at - 1]
+                taken[-1][-1] = room
+                found += taken
         yield records(found)
         found = []
-    yield records([(part, "piece", None, None, name, size, k) for k, (name, size) in enumerate(stack)])
+    left = [(name, size) for size in sizes for name in stacks[size]]
+    yield records([(part, "piece", None, None, name, size, k, None) for k, (name, size) in enumerate(left)])
 
 
 def records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     names = [x.split()[0] for x in SWEEP.split(", ")]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -188,14 +201,14 @@ def one_round(work: Work, state: DataFrame, turn: int, rows: int) -> DataFrame:
         F.broadcast(runs), F.expr("part = piece_part and place < last and place >= last - n"), "left").select(
         "piece", "piece_size", "run", (F.col("last") - 1 - F.col("place")).alias("at"))
     met = gaps.where("run is not null").join(pieces.where("run is not null"), ["run", "at"])
-    matches = sweep.where("what = 'match'").select("gap", "gap_size", "piece", "piece_size").unionByName(
-        met.select("gap", "gap_size", "piece", "piece_size"))
-    matches = matches.select(F.explode(F.array(
+    matches = sweep.where("what = 'match'").select("gap", "gap_size", "piece", "piece_size", "rest").unionByName(
+        met.select("gap", "gap_size", "piece", "piece_size", (F.col("gap_size") - F.col("piece_size")).alias("rest")))
+    matches = matches.select(F.explode(F.array_compact(F.array(
         F.struct(F.lit("done").alias("what"), F.col("piece").alias("id"), F.col("piece_size").alias("size"),
                  F.col("gap").alias("bin"), (CAPACITY - F.col("gap_size")).alias("offset")),
-        F.struct(F.lit("gap").alias("what"), F.col("gap").alias("id"),
-                 (F.col("gap_size") - F.col("piece_size")).alias("size"),
-                 F.col("gap").alias("bin"), F.lit(0).alias("offset")))).alias("x")).select("x.*")
+        F.when(F.col("rest").isNotNull(), F.struct(
+            F.lit("gap").alias("what"), F.col("gap").alias("id"), F.col("rest").alias("size"),
+            F.col("gap").alias("bin"), F.lit(0).alias("offset")))))).alias("x")).select("x.*")
     none = [F.lit(0).cast("long").alias("bin"), F.lit(0).alias("offset")]
     open_gaps = gaps.where("run is null").select(
         F.lit("gap").alias("what"), F.col("gap").alias("id"), F.col("gap_size").alias("size"), *none)
@@ -211,8 +224,8 @@ def best_fit(pieces: DataFrame, work: Work) -> DataFrame:
     """(id, bin, offset) for pieces (id, length): bins of CAPACITY, filled without gaps from 0.
 
     A piece of more than half a bin opens one. Rounds then sort pieces and gaps by size, dealt by
-    range; each gap takes the largest piece below it that no nearer gap takes, within its
-    range by a sweep, between ranges by the places of what is left. Gaps shrink, and the next round
+    range; each gap takes the largest pieces below it that no nearer gap takes, within its
+    range by a sweep, between ranges (one piece) by the places of what is left. Gaps shrink, and the next round
     begins. When no piece fits any gap, new bins are opened, as many as the open pieces fill.
     A round stores its outcome; the driver sees a few sums and two numbers per range.
     """
