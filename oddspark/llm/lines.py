@@ -81,8 +81,65 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
     count as one document and get the same result. Existing columns n_lines and n_removed keep
     their names, the new ones get an underscore in front. An empty table gives an empty one.
     """
-    work = Work(docs.sparkSession, "lines")
-    gone = removed_chunks(docs, window, one_in, work)
+    return without(docs, removed_chunks(docs, window, one_in, Work(docs.sparkSession, "lines")))
+
+
+def window_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, first, hash, chunk) for every two adjacent lines with content."""
+    def pairs(lines):
+        return F.when(F.size(lines) >= 2, F.transform(
+            F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.struct(
+                i.alias("first"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("chunk"))))
+
+    rows = docs.where("text is not null").select(
+        "doc_id", F.xxhash64("text").alias("row_hash"), F.explode(let(F.split("text", "\n"), pairs)).alias("c"))
+    return (rows.select("doc_id", "row_hash", "c.*").where(F.length(F.trim("chunk")) > 1)
+            .withColumn("hash", F.xxhash64("chunk")))
+
+
+def repeated_passages(docs: DataFrame, work: Work) -> DataFrame:
+    """(doc_id, row_hash, gone): the runs of lines of each text, as (first, n), that repeat earlier ones.
+
+    Two-line windows are posted by hash; those with an earlier copy, byte for byte, that they don't
+    overlap join to maximal runs.
+    """
+    where = F.struct("doc_id", "row_hash", "first")
+    posted = window_rows(docs)
+    often = (posted.groupBy("hash").agg(F.min(where).alias("a"), F.max(where).alias("z"))
+             .where("not a <=> z").select("hash"))
+    often = work.store(often, "repeated-hashes")
+    copies = work.store(posted.join(often.hint("merge"), "hash", "left_semi"), "candidates")
+    groups = (copies.groupBy("hash", "chunk").agg(F.min(where).alias("kept"), F.max(where).alias("z"))
+              .where("not kept <=> z").drop("z"))
+    groups = work.store(groups, "groups")
+    later = copies.alias("c").join(groups.alias("g").hint("merge"), same("c", "g", "hash", "chunk")).where(
+        ~(F.struct("c.doc_id", "c.row_hash").eqNullSafe(F.struct("g.kept.doc_id", "g.kept.row_hash"))
+          & (F.col("c.first") <= F.col("g.kept.first") + 1)))
+
+    def runs(firsts):
+        begin = F.sort_array(F.array_except(firsts, F.transform(firsts, lambda i: i + 1)))
+        end = F.sort_array(F.array_except(firsts, F.transform(firsts, lambda i: i - 1)))
+        return F.zip_with(begin, end, lambda a, z: F.struct(a.alias("first"), (z - a + 2).alias("n")))
+
+    gone = later.groupBy("c.doc_id", "c.row_hash").agg(F.collect_set("c.first").alias("firsts"))
+    gone = work.store(gone.select("doc_id", "row_hash", let(F.col("firsts"), runs).alias("gone")), "gone")
+    work.drop("repeated-hashes", "candidates", "groups")
+    return gone
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated passages; columns, nulls and equal rows as in ``dedup_lines``.
+
+    A passage is a run of two or more lines, wherever it begins and ends. Every two adjacent lines
+    that stand at an earlier place too, by doc_id, text hash and line, go from the later one, so
+    passages go up to their last line that is equal. A window that overlaps its own first copy stays.
+    Windows of white space only are left alone. The first place of every line stays.
+    """
+    return without(docs, repeated_passages(docs, Work(docs.sparkSession, "passages")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the lines of ``gone``; adds n_lines and n_removed."""
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     on = (F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
           & (F.xxhash64("d.text") == F.col("g.row_hash")))
@@ -101,8 +158,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns: texts without repeated chunks, n_chars counted anew if there."""
-    done = dedup_lines(docs)
+    """``docs`` with the same columns: texts without repeated passages, n_chars counted anew if there."""
+    done = dedup_passages(docs)
     return done.select(*[
         F.length("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`")
         for c in docs.columns])

@@ -64,6 +64,38 @@ def test_repeated_chunks_go_but_the_first(documents, rows):
     assert lines.dedup_lines(documents([])).count() == 0
 
 
+def passages_by_hand(table):
+    """Texts without every two adjacent lines of which an earlier copy exists that they don't overlap."""
+    first, want = {}, {}
+    for k, text in sorted(table):
+        parts, gone = text.split("\n"), set()
+        for i in range(len(parts) - 1):
+            pair = tuple(parts[i:i + 2])
+            if "".join(pair).strip(" "):
+                at = first.setdefault(pair, (k, i))
+                if at[0] != k or i > at[1] + 1:
+                    gone |= {i, i + 1}
+        want[k] = ("\n".join(p for i, p in enumerate(parts) if i not in gone), len(gone))
+    return want
+
+
+def test_passages_go_wherever_they_begin(documents):
+    rng = random.Random(5)
+    shared = [f"shared line {k}" for k in range(9)]
+    table = [(k, "\n".join([f"own {k}"] + shared[k % 5:k % 5 + rng.randrange(2, 5)] + [f"end {k}"])) for k in range(1, 40)]
+    table += [(50, "a\na\na\na\na"), (51, "x\n \n \n \n \ny"), (52, "\n".join(rng.choice("pqr") for _ in range(60))), (53, ""),
+              (54, "own 1"), (55, "a\na")]
+    want = passages_by_hand(table)
+    docs = documents([*table, table[3], (60, None)])
+    got = lines.dedup_passages(docs).collect()
+    assert len(got) == len(table) + 2
+    assert {r.doc_id: (r.text, r.n_removed) for r in got if r.doc_id != 60} == want
+    assert want[50][0] == "a\na" and want[55][0] == "" and want[51][1] == 0
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.cleaned(docs).collect() if r.doc_id != 60} == {
+        k: (t, len(t)) for k, (t, _) in want.items()}
+    assert lines.dedup_passages(documents([])).count() == 0
+
+
 def test_new_columns_give_way(documents):
     docs = documents([(1, "a\nb")]).withColumnRenamed("key", "n_lines")
     assert lines.dedup_lines(docs).columns[-2:] == ["_n_lines", "n_removed"]
