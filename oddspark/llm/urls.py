@@ -5,13 +5,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddspark.llm.shared import Work
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
          ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The longest context. Contexts of two characters have cells of their own, longer ones share
-#: CONTEXTS hashed rows, so that a model has a fixed size whatever it has read.
-ORDER, SYMBOLS, CONTEXTS = 5, 64, 4096
+#: The longest context, and how many symbols there are, of so many bits each.
+ORDER, SYMBOLS, BITS = 5, 64, 6
+#: Bits of a symbol with its longest context.
+WHOLE = BITS * (ORDER + 1)
+#: Log-likelihoods are summed as whole numbers of 1 / UNIT.
+UNIT = 1_000_000_000
+#: Rows of a bucket in which counts meet grams; the least number of buckets; grams that are broadcast.
+BUCKET_ROWS, LEAST_BUCKETS, HOT = 100_000, 256, 1000
 #: Scores are calibrated in steps of STEP between -EDGE and EDGE.
 STEP, EDGE = 0.01, 8.0
 
@@ -41,81 +47,143 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
     return found.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
-def context_rows(urls: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Per character of all urls: its symbol, its context's row in every order, its url."""
+def grams_in(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte of all urls: the ORDER symbols before it and itself, as one number, and its url.
+
+    The last symbol has the lowest bits; places before a url's beginning hold 0, which is no symbol.
+    """
     raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls.to_pylist()]
     lengths = np.array([len(r) for r in raw], np.int64)
     symbols = CODE[np.frombuffer(b"".join(raw), np.uint8)]
     owner = np.repeat(np.arange(len(raw)), lengths)
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    rows, packed = [np.zeros(len(symbols), np.int64)], np.zeros(len(symbols), np.int64)
+    grams = symbols.copy()
     for back in range(1, ORDER + 1):
         before = np.zeros(len(symbols), np.int64)
-        before[back:] = symbols[:-back] if back < len(symbols) + 1 else 0
-        packed += np.where(place >= back, before, 0) << (6 * (back - 1))
-        rows.append(packed.copy() if back <= 2 else
-                    ((packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64))
-    return symbols, rows, owner
-
-
-def rows_of(order: int) -> int:
-    return [1, SYMBOLS][order] if order < 2 else CONTEXTS
+        before[back:] = symbols[:-back]
+        grams += np.where(place >= back, before, 0) << (BITS * back)
+    return grams, owner
 
 
-#: Where the cells of each order begin in a model.
-BEGINS = np.concatenate([[0], np.cumsum([rows_of(k) * SYMBOLS for k in range(ORDER + 1)])])
+def cells_of(accepted: int, order: int, grams: np.ndarray) -> np.ndarray:
+    """The number of each gram's cell: class, order, and the gram cut to that order."""
+    return ((accepted * (ORDER + 1) + order) << WHOLE) | (grams & ((1 << BITS * (order + 1)) - 1))
 
 
 def counted(batches):
-    """(cell, n) over all urls of a task: how often each symbol follows each context, per class."""
-    cells = np.zeros((2, BEGINS[-1]), np.int64)
+    """(cell, n): how often each symbol follows each context of every order, per class."""
     for batch in batches:
+        cells = [np.zeros(0, np.int64)]
         for accepted in (0, 1):
             part = batch.filter(pa.array(np.array(batch.column("accepted")) == accepted))
-            symbols, rows, _ = context_rows(part.column("url"))
-            for k, row in enumerate(rows):
-                cells[accepted, BEGINS[k]:BEGINS[k + 1]] += np.bincount(
-                    row * SYMBOLS + symbols, minlength=rows_of(k) * SYMBOLS)
-    cell = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cells.ravel()[cell])], ["cell", "n"])
+            grams, _ = grams_in(part.column("url"))
+            cells += [cells_of(accepted, k, grams) for k in range(ORDER + 1)]
+        cell, n = np.unique(np.concatenate(cells), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values at ``wanted`` of sorted ``keys``, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
 class Ratio:
-    """Two variable-order models with interpolated (Witten-Bell) smoothing."""
+    """Two variable-order models with interpolated (Witten-Bell) smoothing, over exact counts."""
 
     def __init__(self, cell: np.ndarray, n: np.ndarray):
-        flat = np.zeros(2 * BEGINS[-1], np.float32)
-        flat[cell] = n
-        self.counts = flat.reshape(2, -1)
-        self.seen = [[self.of(c, k).sum(1) for k in range(ORDER + 1)] for c in (0, 1)]
-        self.kinds = [[(self.of(c, k) > 0).sum(1) for k in range(ORDER + 1)] for c in (0, 1)]
-
-    def of(self, accepted: int, order: int) -> np.ndarray:
-        return self.counts[accepted, BEGINS[order]:BEGINS[order + 1]].reshape(-1, SYMBOLS)
-
-    def logs(self, accepted: int, symbols, rows) -> np.ndarray:
-        chance = np.full(len(symbols), 1 / SYMBOLS)
-        for k, row in enumerate(rows):
-            seen, kinds = self.seen[accepted][k][row], self.kinds[accepted][k][row]
-            met = self.of(accepted, k)[row, symbols]
+        order = np.argsort(cell)
+        self.cell, self.n = cell[order], n[order]
+        self.context, first, self.kinds = np.unique(self.cell >> BITS, return_index=True, return_counts=True)
+        self.seen = np.add.reduceat(self.n, first) if len(first) else self.n
+
+    def logs(self, accepted: int, grams: np.ndarray) -> np.ndarray:
+        chance = np.full(len(grams), 1 / SYMBOLS)
+        for k in range(ORDER + 1):
+            cells = cells_of(accepted, k, grams)
+            seen, kinds = (found(self.context, v, cells >> BITS) for v in (self.seen, self.kinds))
+            met = found(self.cell, self.n, cells)
             chance = np.where(seen > 0, (met + kinds * chance) / np.maximum(seen + kinds, 1), chance)
         return np.log(chance)
 
+    def apart(self, grams: np.ndarray) -> np.ndarray:
+        """Difference of the log-likelihoods, accepted less rejected, in whole units of 1 / UNIT.
+
+        Sums of whole numbers don't depend on the order of rows.
+        """
+        return np.rint((self.logs(1, grams) - self.logs(0, grams)) * UNIT).astype(np.int64)
+
     def scores(self, urls: pa.Array) -> np.ndarray:
-        """Mean difference per character of the log-likelihoods, accepted less rejected."""
-        symbols, rows, owner = context_rows(urls)
-        apart = self.logs(1, symbols, rows) - self.logs(0, symbols, rows)
-        sums = np.bincount(owner, apart, len(urls))
-        return sums / np.maximum(np.bincount(owner, minlength=len(urls)), 1)
+        """Mean difference per byte."""
+        grams, owner = grams_in(urls)
+        sums, n = np.zeros(len(urls), np.int64), np.bincount(owner, minlength=len(urls))
+        np.add.at(sums, owner, self.apart(grams))
+        return sums / UNIT / np.maximum(n, 1)
 
 
-def scored(df: DataFrame, model) -> DataFrame:
-    """``df`` with the score of ``url``."""
-    def run(batches):
-        for batch in batches:
-            yield batch.append_column("score", pa.array(model.value.scores(batch.column("url"))))
+def postings(batches):
+    """(id, gram, n): the distinct grams of each url."""
+    for batch in batches:
+        grams, owner = grams_in(batch.column("url"))
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        first = np.flatnonzero(np.diff(grams, prepend=-1).astype(bool) | np.diff(owner, prepend=-1).astype(bool))
+        n = np.diff(first, append=len(grams))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("id").take(pa.array(owner[first])), pa.array(grams[first]), pa.array(n.astype(np.int64))],
+            ["id", "gram", "n"])
+
+
+def gram_ratios(cells: DataFrame, grams: DataFrame, work: Work) -> DataFrame:
+    """(gram, apart) for all of ``grams`` (gram), under the counts in ``cells`` (cell, n).
+
+    Counts and grams meet by the three symbols before the last one, in buckets whose number grows
+    with both. No bucket gets large by a common url, as both are distinct there. The counts of
+    contexts of up to two symbols are bounded (64^3 of a class and order) and go to all buckets.
+    """
+    order = F.shiftright("cell", WHOLE) % (ORDER + 1)
+    low = cells.where(order < 3).toArrow()
+    low = work.spark.sparkContext.broadcast([low.column(c).to_numpy() for c in ("cell", "n")])
+    buckets = max(LEAST_BUCKETS, -(-(cells.count() + grams.count()) // BUCKET_ROWS))
+
+    def dealt(c):
+        return F.pmod(F.xxhash64(F.shiftright(c, BITS).bitwiseAND((1 << 3 * BITS) - 1)), F.lit(buckets))
+
+    def run(counts: pa.Table, wanted: pa.Table) -> pa.Table:
+        own = [counts.column(c).to_numpy() for c in ("cell", "n")]
+        model = Ratio(*(np.concatenate([a, b]) for a, b in zip(low.value, own, strict=True)))
+        gram = wanted.column("gram").to_numpy()
+        return pa.table({"gram": gram, "apart": model.apart(gram)})
 
-    return df.mapInArrow(run, f"{df._jdf.schema().toDDL()}, score double")
+    high = cells.where(order >= 3).withColumn("bucket", dealt("cell"))
+    return (high.groupBy("bucket").cogroup(grams.withColumn("bucket", dealt("gram")).groupBy("bucket"))
+            .applyInArrow(run, "gram long, apart long"))
+
+
+def scored(df: DataFrame, cells: DataFrame, work: Work) -> DataFrame:
+    """``df`` with the score of ``url``, under the counts in ``cells``.
+
+    Distinct urls are scored, by joins of their distinct grams with those of the model.
+    """
+    names = work.store(df.where("url <> ''").select("url").distinct()
+                       .withColumn("id", F.monotonically_increasing_id()), "urls")
+    posted = work.store(names.mapInArrow(postings, "id long, gram long, n long"), "postings")
+    grams = work.store(posted.groupBy("gram").agg(F.count("*").alias("urls")), "grams")
+    ratios = work.store(gram_ratios(cells, grams.select("gram"), work), "ratios")
+    # The most common grams, a fixed number, are broadcast, so that no other one has more than a
+    # HOT-th of all postings.
+    hot = work.store(grams.orderBy(F.desc("urls"), "gram").limit(HOT).select("gram")
+                     .join(ratios.hint("merge"), "gram"), "hot")
+    rest = posted.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(ratios.hint("merge"), "gram")
+    parts = posted.join(F.broadcast(hot), "gram").select("id", "n", "apart").union(rest.select("id", "n", "apart"))
+    sums = parts.groupBy("id").agg(F.sum(F.col("n") * F.col("apart")).alias("apart"), F.sum("n").alias("n"))
+    scores = names.join(sums.hint("merge"), "id").select("url", (F.col("apart") / UNIT / F.col("n")).alias("s"))
+    done = df.join(scores.hint("merge"), "url", "left").withColumn("score", F.coalesce("s", F.lit(0.0))).drop("s")
+    done = work.store(done.select(*df.columns, "score").drop("url"), "scored")
+    work.drop("urls", "postings", "grams", "ratios", "hot")
+    return done
 
 
 def calibrated(bins: DataFrame) -> float:
@@ -140,25 +208,22 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     The rules label the urls that they fit. Three quarters of them, by a checksum of the url, count
     into a model of accepted and one of rejected urls; the rest calibrate the threshold of the
-    score. All rows are counted, none sampled; the models have a fixed size, as have the counts that
-    calibrate them, so both may go through the driver and be broadcast.
+    score. All rows are counted, none sampled, every context exactly, in a table that grows with
+    the urls; the counts that calibrate the threshold have a fixed size and go through the driver.
 
     A null or empty url scores 0 and is judged by that. Scores at the threshold are allowed. Long
     urls count in full, repeated rows as often as they occur. Without labelled urls all scores are 0
     and are allowed. Other columns are not read.
     """
-    found = ruled(pages.select("page_id", "url"), rules)
-    fold = F.crc32(F.col("url").cast("binary")) % 4
-    labelled = found.where(F.col("ruled").isNotNull()).select(
-        "url", (F.col("ruled") == "allow").cast("int").alias("accepted"), fold.alias("fold"))
-    cells = (labelled.where("fold <> 0").mapInArrow(counted, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    model = pages.sparkSession.sparkContext.broadcast(
-        Ratio(cells.column("cell").to_numpy(), cells.column("n").to_numpy()))
+    work = Work(pages.sparkSession, "urls")
+    rows = ruled(pages.select("page_id", "url"), rules).withColumn("fold", F.crc32(F.col("url").cast("binary")) % 4)
+    accepted = (F.col("ruled") == "allow").cast("int")
+    cells = (rows.where("ruled is not null and fold <> 0").select("url", accepted.alias("accepted"))
+             .mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    done = scored(rows, work.store(cells, "cells"), work)
     step = F.floor((F.greatest(F.least(F.col("score"), F.lit(EDGE)), F.lit(-EDGE)) + EDGE) / STEP)
-    bins = (scored(labelled.where("fold = 0"), model).groupBy("accepted", step.cast("int").alias("step"))
-            .agg(F.count("*").alias("n")))
+    bins = (done.where("ruled is not null and fold = 0")
+            .groupBy(accepted.alias("accepted"), step.cast("int").alias("step")).agg(F.count("*").alias("n")))
     threshold = calibrated(bins)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return scored(found, model).select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+    return done.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

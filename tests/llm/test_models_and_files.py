@@ -86,6 +86,36 @@ def test_url_scores_equal_a_plain_model(spark):
     assert model.scores(pa.array(["", None])).tolist() == [0, 0]
 
 
+def test_every_url_context_is_counted_exactly(spark):
+    rng = random.Random(6)
+    path = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    names = [f"http://{h}/{path()}" for h in ("a.org/fr", "c.net", "e.edu") for _ in range(250)]
+    names += names[:40] + ["http://" + "x/" * 500]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(names)), "page_id long, url string")).collect()
+    follow = {}
+    for u in names:
+        if ("a.org/fr" in u or "c.net" in u) and zlib.crc32(u.encode()) % 4:
+            padded = "\0" * urls.ORDER + u
+            for i in range(urls.ORDER, len(padded)):
+                for k in range(urls.ORDER + 1):
+                    one = follow.setdefault(("a.org/fr" in u, padded[i - k:i]), {})
+                    one[padded[i]] = one.get(padded[i], 0) + 1
+    assert len(follow) > 4 * 4096
+
+    def log(accepted, padded, i):
+        p = 1 / urls.SYMBOLS
+        for k in range(urls.ORDER + 1):
+            if one := follow.get((accepted, padded[i - k:i])):
+                p = (one.get(padded[i], 0) + len(one) * p) / (sum(one.values()) + len(one))
+        return np.log(p)
+
+    assert sorted(r.page_id for r in got) == list(range(len(names)))
+    for r in got:
+        padded = "\0" * urls.ORDER + names[r.page_id]
+        want = np.mean([log(True, padded, i) - log(False, padded, i) for i in range(urls.ORDER, len(padded))])
+        assert r.score == pytest.approx(want, abs=1e-7)
+
+
 def test_urls_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "http://x.net/" + "y" * 90_000)], "page_id long, url string")
     got = urls.judge_urls(df).collect()
