@@ -155,24 +155,37 @@ class Stream:
         raw.seek(0)
 
     def records(self, wanted, body: bool):
-        """(headers, block or None) of the records whose headers are wanted."""
+        """(headers, block or None) of the records whose headers are wanted.
+
+        A gzip member that states its length holds one record, others are read to their end.
+        """
         at = 0
         while at < self.size:
             self.raw.seek(at)
             source, length = self.opened(at)
-            headers = parsed(source)
-            if headers is None:
-                return
-            need = wanted(headers)
-            block = source.read(int(headers.get("content-length", 0))) if need and body else None
-            if need:
-                yield headers, block
-            if length is not None:
-                at += length
-            elif self.packed:
-                at = source.end()
-            else:
-                at = self.raw.tell() + (0 if block is not None else int(headers.get("content-length", 0))) + 4
+            while (headers := parsed(source)) is not None:
+                need, n = wanted(headers), int(headers.get("content-length", 0))
+                block = source.read(n) if need and body else None
+                if block is not None and len(block) < n:
+                    raise ValueError(f"a record of {n} bytes ends after {len(block)}")
+                if need:
+                    yield headers, block
+                if length:
+                    break
+                if block is None:
+                    self.step(source, n)
+            at = at + length if length else source.end() if self.packed else self.size
+
+    def step(self, source, n: int) -> None:
+        """Pass over ``n`` bytes, which must be there."""
+        if self.packed:
+            while n and (data := source.read(min(n, 1 << 20))):
+                n -= len(data)
+        elif (end := source.tell() + n) <= self.size:
+            source.seek(end)
+            n = 0
+        if n:
+            raise ValueError(f"a record lacks its last {n} bytes")
 
     def opened(self, at: int):
         if not self.packed:
@@ -216,6 +229,8 @@ class Inflated:
     def end(self) -> int:
         while not self.machine.eof and self.more(1 << 16):
             self.ready.clear()
+        if not self.machine.eof:
+            raise ValueError(f"the gzip member at byte {self.at} doesn't end")
         return self.at + self.taken - len(self.machine.unused_data)
 
 
@@ -224,8 +239,10 @@ def parsed(source) -> dict | None:
     line = source.readline()
     while line in (b"\r\n", b"\n"):
         line = source.readline()
-    if not line.startswith(b"WARC/"):
+    if not line:
         return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no record begins with {line[:40]!r}")
     fields = {}
     while (line := source.readline()) not in (b"\r\n", b"\n", b""):
         name, _, value = line.decode("utf-8", "replace").partition(":")

@@ -162,6 +162,27 @@ def test_plain_and_foreign_archives(tmp_path):
     assert sorted(r[-1] for r in found) == [b"body0", b"body0", b"body1", b"body1", b"body2", b"body2"]
 
 
+def test_no_record_of_an_archive_gets_lost(tmp_path):
+    import gzip
+    records = [warc.record("response", f"<urn:page:{k}>", f"u{k}", None, "d", b"body%d" % k * 9000, "t") for k in range(4)]
+
+    def read(name, data, body=True, keep=lambda h: True):
+        (tmp_path / name).write_bytes(data)
+        with open(tmp_path / name, "rb") as raw:
+            return [h["warc-target-uri"] for h, _ in warc.Stream(raw, len(data)).records(keep, body)]
+
+    whole, some = gzip.compress(b"".join(records)), lambda h: h["warc-target-uri"] in ("u1", "u3")
+    mixed = gzip.compress(b"".join(records[:3])) + gzip.compress(records[3])
+    for data in (whole, mixed, b"".join(records)):
+        for body in (True, False):
+            assert read("a", data, body) == ["u0", "u1", "u2", "u3"] and read("a", data, body, some) == ["u1", "u3"]
+    plain = records[0] + b"torn\r\n" + records[1]
+    for data in (plain, gzip.compress(plain), whole[:-30], records[0][:-500], gzip.compress(records[0][:-500])):
+        for body in (True, False):
+            with pytest.raises(ValueError):
+                read("b", data, body)
+
+
 def test_pieces_and_sequences(documents):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["the", "unbelievable", "ñandú", "x9", "it's", "<|endoftext|>"]) for _ in range(rng.randrange(900)))
