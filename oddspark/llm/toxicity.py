@@ -259,7 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     for label, most in sample.items():
         chosen = (known.where(F.col("toxic") == label).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")
                   .limit(most).select("doc_id"))
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+        # One row for each id, so that ids with many rows neither outweigh the sample nor fill the driver.
+        rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+                .groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect())
         texts += [r["text"] or "" for r in rows]
         marks += [label] * len(rows)
     return fitted(texts, np.array(marks, int))

@@ -51,6 +51,17 @@ def test_held_out_toxic_documents_are_found(spark, documents):
     assert toxicity.score_toxicity(documents([]), labels).count() == 0
 
 
+def test_a_sampled_document_gives_one_text_however_many_rows_it_has(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda texts, marks: seen.append((texts, marks.tolist())))
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, f"text {k}") for k in ids] + [(ids[0], "text 0 other")] + [(ids[1], f"text {ids[1]}")] * 300 + [(90, None)] * 3
+    labels = spark.createDataFrame([(k, k % 2) for k in [*ids, 90]], "doc_id long, toxic int")
+    toxicity.train(documents(rows), labels)
+    order = [k for label in toxicity.SAMPLE for k in [*ids, 90] if k % 2 == label and zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen == [([f"text {k}" if k != 90 else "" for k in order], [k % 2 for k in order])]
+
+
 @pytest.mark.parametrize("url, host, path, rule", [
     ("http://A.Net/x", "a.net", "/x", "net/"), ("https://m.example.net/en/9?q", "m.example.net", "/en/9", "example.net/en/"),
     ("https://anet.com/", "anet.com", "/", None), ("x://b.org/fr/#a", "b.org", "/fr/", "org/fr/"), ("http://c.net", "c.net", "", None),
