@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.llm import covertree, lines, minhash, mixing, packing, quality, suffixes, toxicity, urls, warc
+from oddspark.llm import (
+    clustering, covertree, lines, minhash, mixing, packing, periodic, quality, secrets, suffixes, toxicity, urls, warc,
+)
 from oddspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +289,53 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted_runs(table(spark, folder, "documents")))
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
+QUERIES["op12_secret_scan"] = op12_secret_scan
+
+
+def op13_pivot_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES["op13_pivot_clustering"] = op13_pivot_clustering
+
+
+def _round(n: int) -> str:
+    """Vectors with their nearest centroid of round ``n``, and the centroids after it."""
+    return f"""
+a{n} AS (SELECT vec_id, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT s.id, vec_id, s.v, c.k, list_sum(list_transform(range(1, {clustering.DIM + 1}),
+      lambda i: (s.v[i] - c.v[i]) * (s.v[i] - c.v[i]))) AS d
+    FROM s, c{n} c) GROUP BY id, vec_id, v),
+c{n + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+    SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT k, i, CAST(sum(v[i]) AS BIGINT) AS t, count(*) AS n
+      FROM (SELECT k, v, unnest(range(1, {clustering.DIM + 1})) AS i FROM a{n}) GROUP BY k, i) GROUP BY k) m USING (k))"""
+
+
+ORACLES["op13_pivot_clustering"] = f"""
+WITH f AS (
+  SELECT row_number() OVER () AS id, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = {clustering.DIM}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT id, vec_id, list_transform(e, lambda x: CAST(floor({clustering.STEPS} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM f),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v
+  FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM s ORDER BY h NULLS LAST, v LIMIT {clustering.CENTROIDS})),
+{",".join(_round(n) for n in range(clustering.ROUNDS + 1))}
+SELECT vec_id, CAST(a.k AS INT) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} a JOIN c{clustering.ROUNDS} c USING (k)
+"""
