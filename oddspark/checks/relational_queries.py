@@ -13,6 +13,7 @@ from oddspark.operators.upsert import new_rows
 from oddspark.plans import background as B
 from oddspark.plans import cohort as H
 from oddspark.plans import dashboard as D
+from oddspark.plans import deltas as L
 from oddspark.plans import signals as G
 from oddspark.plans.search import missing_terms
 from oddspark.workspace import materialize, new_folder
@@ -381,16 +382,8 @@ def _(star):
     return total
 
 
-@query("build_background", """
-SELECT 'quarter' AS kind, '' AS drug_key, '' AS event_pt, faers_quarter, n_reports
-FROM quarter_totals
-UNION ALL SELECT 'drug', drug_key, '', faers_quarter, n_reports FROM drug_totals
-UNION ALL SELECT 'event', '', event_pt, faers_quarter, n_reports FROM event_totals
-UNION ALL SELECT 'pair', drug_key, event_pt, faers_quarter, n_reports FROM drug_event_counts""")
-def _(star):
-    stored = B.write_background(
-        star.demo_core, star.drug, star.reac, new_folder(star.spark, "background")
-    )
+def _listed(stored):
+    """All counts of a background in one table."""
     empty = F.lit("")
     parts = [
         stored.quarter_totals.withColumns(
@@ -406,6 +399,19 @@ def _(star):
     return total.withColumn("faers_quarter", F.col("faers_quarter").cast("string"))
 
 
+@query("build_background", """
+SELECT 'quarter' AS kind, '' AS drug_key, '' AS event_pt, faers_quarter, n_reports
+FROM quarter_totals
+UNION ALL SELECT 'drug', drug_key, '', faers_quarter, n_reports FROM drug_totals
+UNION ALL SELECT 'event', '', event_pt, faers_quarter, n_reports FROM event_totals
+UNION ALL SELECT 'pair', drug_key, event_pt, faers_quarter, n_reports FROM drug_event_counts""")
+def _(star):
+    stored = B.write_background(
+        star.demo_core, star.drug, star.reac, new_folder(star.spark, "background")
+    )
+    return _listed(stored)
+
+
 @query("scan_signals", f"SELECT {SHOWN}, b, c, d FROM signals")
 def _(star):
     return rank_by_ic(G.scan_signals(star.background))
@@ -457,3 +463,37 @@ def _(star):
             F.lit(0.0).alias("ror"),
         ))
     return total
+
+
+_LOADS_SQL = """, winners AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY caseid
+      ORDER BY caseversion DESC NULLS FIRST, primaryid DESC) AS _rn FROM demo) WHERE _rn = 1)
+SELECT 'quarter' AS kind, '' AS drug_key, '' AS event_pt, faers_quarter, count(*) AS n_reports
+FROM winners GROUP BY ALL
+UNION ALL SELECT 'drug', drug_key, '', faers_quarter, count(*)
+FROM drug_pairs JOIN winners USING (primaryid) GROUP BY ALL
+UNION ALL SELECT 'event', '', event_pt, faers_quarter, count(*)
+FROM event_pairs JOIN winners USING (primaryid) GROUP BY ALL
+UNION ALL SELECT 'pair', drug_key, event_pt, faers_quarter, count(*)
+FROM drug_pairs JOIN event_pairs USING (primaryid) JOIN winners USING (primaryid) GROUP BY ALL"""
+
+
+@query("apply_load", _LOADS_SQL)
+def _(star):
+    """The background after two loads: reports from 1999 on come second, as do all fifth lines of earlier ones."""
+    path, first = new_folder(star.spark, "loads"), F.col("faers_quarter") < "1999"
+    early = star.demo_core.filter(first).select("primaryid")
+    in_time = F.col("l_linenumber") != 5
+
+    def parts(child, column):
+        """Child rows that come with the first load, and those that come with the second."""
+        soon = child.join(early, "primaryid", "left_semi")
+        later = child.join(early, "primaryid", "left_anti")
+        return soon.filter(in_time).drop(column), soon.filter(~in_time).unionByName(later).drop(column)
+
+    number = F.col("drug_seq").cast("int").alias("l_linenumber")
+    drugs = parts(star.drug.select("*", number), "l_linenumber")
+    events = parts(star.numbered_reac, "l_linenumber")
+    L.apply_load(star.spark, path, star.demo_core.filter(first), drugs[0], events[0])
+    return _listed(L.apply_load(star.spark, path, star.demo_core.filter(~first), drugs[1], events[1]))

@@ -1,5 +1,9 @@
 """Registered queries: reading, writing and table maintenance."""
 
+import contextlib
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from oddspark import schemas
@@ -11,6 +15,7 @@ from oddspark.plans.cohort import write_cohort
 from oddspark.plans.background import drug_totals, quarter_totals
 from oddspark.plans.signals import precomputed_or_live, scan_signals
 from oddspark.sources import delimited, fixtures, tables
+from oddspark.sources.versions import Store
 from oddspark.workspace import materialize, new_folder
 
 DEMO_TEXT = [
@@ -165,6 +170,28 @@ def _(star):
     return upsert_by_key(existing, changed.unionByName(added), ["pt"])
 
 
+@query("versioned_tables", """
+SELECT nullif(vec_id, 7) AS pt, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, 'first' AS load
+FROM embeddings WHERE label >= 2
+UNION ALL SELECT nullif(vec_id, 7), label, 'second' FROM embeddings WHERE label < 2""")
+def _(star):
+    """Loads and changes of a versioned table, each run twice and once with a failing task in between."""
+    store = Store(star.spark, new_folder(star.spark, "versioned"))
+    terms = star.table("embeddings").select(F.nullif("vec_id", F.lit(7)).alias("pt"), "label")
+    key, fails = ["pt"], F.raise_error(F.lit("a task fails")).cast("string")
+    steps = [
+        (store.append, terms.filter("label >= 2"), "first", ["one"]),
+        (store.insert_ignore, terms, "second", [key]),
+        (store.upsert, terms.filter("label >= 5").withColumn("label", F.col("label") + 100), "first", [key]),
+    ]
+    for write, rows, load, rest in steps:
+        with contextlib.suppress(PySparkException, Py4JError):
+            write("terms", rows.withColumn("load", fails), *rest)
+        for _ in range(2):
+            write("terms", rows.withColumn("load", F.lit(load)), *rest)
+    return store.read("terms")
+
+
 @query("publish_reconciled", """
 SELECT 'reports' AS table_name, count(*) AS n_source, count(*) AS n_target, 'OK' AS status
 FROM reports UNION ALL

@@ -116,11 +116,16 @@ class Star:
 
     @cached_property
     def reac(self) -> DataFrame:
+        return self.numbered_reac.drop("l_linenumber")
+
+    @cached_property
+    def numbered_reac(self) -> DataFrame:
         band = F.floor(F.col("p_size") / 10).cast("string")
         return self._lines.select(
             F.col("l_orderkey").alias("primaryid"),
             F.when(F.col("p_size") < 50, F.concat("p_type", F.lit(" "), band)).alias("pt"),
             F.nullif("l_linestatus", F.lit("O")).alias("drug_rec_act"),
+            "l_linenumber",
         )
 
     @cached_property

@@ -1,6 +1,7 @@
 """Results of keyed inserts, as plain DataFrames."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,29 @@ def one_per_key(
     return chosen.select(*df.columns)
 
 
+def _by_key(df: DataFrame, others: DataFrame, key: list[str], how: str) -> DataFrame:
+    keys = others.select(*[F.col(c).alias(f"_other{i}") for i, c in enumerate(key)])
+    found = [F.col(c).eqNullSafe(F.col(f"_other{i}")) for i, c in enumerate(key)]
+    return df.join(keys, reduce(Column.__and__, found), how)
+
+
+def without_keys(df: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is not among the others'. A null is a value like any other, so that a row with a
+    null key is found again."""
+    return _by_key(df, others, key, "left_anti")
+
+
+def with_keys(df: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is among the others', nulls included."""
+    return _by_key(df, others, key, "left_semi")
+
+
 def new_rows(
     existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None
 ) -> DataFrame:
     """Incoming rows whose key is not there yet, the first of each key."""
     first = one_per_key(incoming, key, order or [], F.min)
-    return first.join(existing.select(*key), key, "left_anti")
+    return without_keys(first, existing, key)
 
 
 def insert_ignore(
@@ -42,5 +60,4 @@ def upsert_by_key(
 ) -> DataFrame:
     """The table after inserting or replacing by key; of several incoming rows the last one wins."""
     latest = one_per_key(incoming, key, order or [], F.max)
-    kept = existing.join(latest.select(*key), key, "left_anti")
-    return kept.unionByName(latest.select(*existing.columns))
+    return without_keys(existing, latest, key).unionByName(latest.select(*existing.columns))

@@ -91,10 +91,10 @@ def build_background(
     demo: DataFrame, drug: DataFrame, reac: DataFrame, scope: str = "quarter"
 ) -> Background:
     """The four tables as lazy plans, all quarters at once."""
-    return _background(valid_reports(demo, scope), report_drugs(drug), report_events(reac))
+    return background_of(valid_reports(demo, scope), report_drugs(drug), report_events(reac))
 
 
-def _background(valid: DataFrame, drugs: DataFrame, events: DataFrame) -> Background:
+def background_of(valid: DataFrame, drugs: DataFrame, events: DataFrame) -> Background:
     return Background(
         quarter_totals=quarter_totals(valid),
         drug_totals=drug_totals(in_valid_reports(drugs, valid)),
@@ -121,7 +121,7 @@ def write_background(
         left = set().union(*[stored_values(spark, f"{path}/{t}", "faers_quarter") for t in TABLES]) - held
         if left:
             raise ValueError(f"stored quarters are not in the input: {', '.join(sorted(left))}")
-    results = _background(
+    results = background_of(
         stored(valid_reports(demo, scope), f"{made}/valid-reports"),
         stored(report_drugs(drug), f"{made}/report-drugs"),
         stored(report_events(reac), f"{made}/report-events"),

@@ -13,6 +13,7 @@ from oddspark.functions.vectors import dot, norm
 from oddspark.operators.ranking import top_n_per
 from oddspark.schemas import EMBEDDINGS, QUERY_VECTORS
 from oddspark.sources.tables import read_if_exists, upsert_table
+from oddspark.sources.versions import Store
 from oddspark.workspace import local_table, materialize
 
 Encoder = Callable[[list[str], str], list[list[float]]]
@@ -83,6 +84,17 @@ def refresh_embeddings(
     upsert_table(new, path, out_path, ["pt"])
 
 
+def refresh_stored_embeddings(
+    reactions: DataFrame, store: Store, table: str = "embeddings", encoder: Encoder = hashing_encoder
+) -> bool:
+    """The same in place: vectors of the missing terms are added as a new version. True if there were any.
+
+    Stored vectors are not written again. A failed or repeated run leaves readers what they had.
+    """
+    new = embed_missing(reactions, store.read(table, EMBEDDINGS), encoder)
+    return store.insert_ignore(table, new, ["pt"])
+
+
 def query_vectors(
     spark: SparkSession, texts: list[str], encoder: Encoder = hashing_encoder
 ) -> DataFrame:
