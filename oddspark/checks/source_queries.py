@@ -171,13 +171,13 @@ def _(star):
 
 
 @query("versioned_tables", """
-SELECT nullif(vec_id, 7) AS pt, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, 'first' AS load
+SELECT nullif(vec_id, 7)::VARCHAR AS pt, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, 'first' AS load
 FROM embeddings WHERE label >= 2
-UNION ALL SELECT nullif(vec_id, 7), label, 'second' FROM embeddings WHERE label < 2""")
+UNION ALL SELECT nullif(vec_id, 7)::VARCHAR, label, 'second' FROM embeddings WHERE label < 2""")
 def _(star):
     """Loads and changes of a versioned table, each run twice and once with a failing task in between."""
     store = Store(star.spark, new_folder(star.spark, "versioned"))
-    terms = star.table("embeddings").select(F.nullif("vec_id", F.lit(7)).alias("pt"), "label")
+    terms = star.table("embeddings").select(F.nullif("vec_id", F.lit(7)).cast("string").alias("pt"), "label")
     key, fails = ["pt"], F.raise_error(F.lit("a task fails")).cast("string")
     steps = [
         (store.append, terms.filter("label >= 2"), "first", ["one"]),
