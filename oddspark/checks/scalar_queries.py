@@ -197,7 +197,7 @@ def _(star):
 @query("dictionary_contains_join", """
 SELECT primaryid, drugname, prod_ai, active_ingredient FROM member""")
 def _(star):
-    joined = add_class_member(star.drug, N.build_matcher(star.dictionary), inline_variants=0)
+    joined = add_class_member(star.drug, N.build_matcher(star.dictionary), gram=1)
     return joined.select("primaryid", "drugname", "prod_ai", "active_ingredient")
 
 

@@ -1,90 +1,37 @@
-"""Recognition of class members in free-text product names."""
+"""Recognition of class members in free-text product names, by postings of letter groups."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddspark.functions.names import first_variant_in, normalize_drug_name
-from oddspark.operators.once import computed_once
+from oddspark.functions.names import normalize_drug_name
 
-# Variants up to this number become part of the expression; more are joined.
-INLINE_VARIANTS = 200
+#: Letters of a group. A dictionary with a shorter variant has shorter groups.
+GRAM = 4
 
 
-def add_class_member(
-    drug: DataFrame, matcher: DataFrame, inline_variants: int = INLINE_VARIANTS
-) -> DataFrame:
+def add_class_member(drug: DataFrame, matcher: DataFrame, gram: int = GRAM) -> DataFrame:
     """Add ``active_ingredient``: the class member named by ``drugname``, else by ``prod_ai``.
 
     A name matches when it contains a variant; of several the first in dictionary order wins.
     """
-    return member_recognizer(matcher, inline_variants)(drug)
-
-
-def member_recognizer(
-    matcher: DataFrame, inline_variants: int = INLINE_VARIANTS
-) -> Callable[[DataFrame], DataFrame]:
-    """``add_class_member`` for one dictionary, whose size is looked up once.
-
-    A curated list turns into one expression with no join and no shuffle. A longer one goes
-    through ``matched_names``.
-    """
-    rows = matcher.limit(inline_variants + 1).collect()
-    if len(rows) > inline_variants:
-        return lambda drug: _members_joined(_cleaned(drug), matcher).select(
-            *drug.columns, "active_ingredient"
-        )
-    rows.sort(key=lambda r: (r["dict_pos"], r["name_pos"]))
-    variants = [(r["variant"], r["active"]) for r in rows]
-    member = F.coalesce(
-        first_variant_in(F.col("_drugname"), variants),
-        first_variant_in(F.col("_prod_ai"), variants),
-    )
-    return lambda drug: _cleaned(drug).select(*drug.columns, member.alias("active_ingredient"))
-
+    return add_member_by_name(drug, class_names(drug, matcher, gram))
 
-def _cleaned(drug: DataFrame) -> DataFrame:
-    return computed_once(drug, {
-        "_drugname": normalize_drug_name(F.col("drugname")),
-        "_prod_ai": normalize_drug_name(F.col("prod_ai")),
-    })
 
-
-def _members_joined(named: DataFrame, matcher: DataFrame) -> DataFrame:
-    names = named.select(F.explode(F.array("_drugname", "_prod_ai")).alias("name"))
-    hits = matched_names(names.filter("name is not null").distinct(), matcher)
-    by_name = hits.select(F.col("name").alias("_drugname"), F.col("active").alias("_by_name"))
-    by_ai = hits.select(F.col("name").alias("_prod_ai"), F.col("active").alias("_by_ai"))
-    return (
-        named.join(by_name, "_drugname", "left")
-        .join(by_ai, "_prod_ai", "left")
-        .withColumn("active_ingredient", F.coalesce("_by_name", "_by_ai"))
-    )
-
-
-def class_names(
-    drug: DataFrame, matcher: DataFrame, inline_variants: int = INLINE_VARIANTS
-) -> DataFrame:
+def class_names(drug: DataFrame, matcher: DataFrame, gram: int = GRAM) -> DataFrame:
     """The raw names in ``drug`` that name a class member: ``name, active``.
 
     Each distinct name is cleaned and matched once, however many rows carry it. Only names that
     match are kept, so the table is small where the class is a small part of all products.
     """
-    raw = drug.select(F.explode(F.array("drugname", "prod_ai")).alias("drugname"))
-    names = raw.filter("drugname is not null").distinct()
-    recognize = member_recognizer(matcher, inline_variants)
-    found = recognize(names.withColumn("prod_ai", F.lit(None).cast("string")))
-    return found.filter("active_ingredient is not null").select(
-        F.col("drugname").alias("name"), F.col("active_ingredient").alias("active")
-    )
+    raw = drug.select(F.explode(F.array("drugname", "prod_ai")).alias("name"))
+    names = raw.filter("name is not null").distinct()
+    return _matched(names.withColumn("text", normalize_drug_name(F.col("name"))), matcher, gram)
 
 
 def add_member_by_name(drug: DataFrame, names: DataFrame) -> DataFrame:
     """``add_class_member`` by equality with the names found by ``class_names``.
 
-    Meant for names that are stored: then the planner knows their size, and broadcasts them or
-    not accordingly.
+    For names that are stored the planner knows their size, and broadcasts them or not accordingly.
     """
     def lookup(column: str, found: str) -> DataFrame:
         return names.select(F.col("name").alias(column), F.col("active").alias(found))
@@ -97,24 +44,53 @@ def add_member_by_name(drug: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def matched_names(names: DataFrame, matcher: DataFrame) -> DataFrame:
-    """Distinct names that contain a variant, with the ingredient of the first: ``name, active``.
+def matched_names(names: DataFrame, matcher: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Distinct names that contain a variant, with the ingredient of the first: ``name, active``."""
+    return _matched(names.select("name", F.col("name").alias("text")), matcher, gram)
 
-    A name contains a variant exactly if one of its substrings of that length equals it. So the
-    containment becomes an equi-join of the substrings of each distinct name, of the lengths that
-    occur in the dictionary, with the variants.
+
+def gram_length(matcher: DataFrame, gram: int = GRAM) -> Column:
+    """How many letters a group has: ``gram``, or as many as the shortest variant. A scalar subquery."""
+    shortest = matcher.filter("variant <> ''").agg(F.min(F.length("variant"))).scalar()
+    return F.greatest(F.lit(1), F.least(F.lit(gram), shortest))
+
+
+def with_grams(df: DataFrame, text: str, length: Column) -> DataFrame:
+    """A row ``at, gram`` for every group of letters of a text, so at most one for each letter."""
+    starts = F.when(F.length(text) >= F.col("_length"), F.sequence(F.lit(1), F.length(text) - F.col("_length") + 1))
+    placed = df.withColumn("_length", length).withColumn("at", F.explode(starts))
+    return placed.withColumn("gram", F.col(text).substr(F.col("at"), F.col("_length"))).drop("_length")
+
+
+def gram_postings(matcher: DataFrame, gram: int = GRAM) -> DataFrame:
+    """The inverted index of a dictionary: ``gram, into, variant, active, place``.
+
+    Every variant is posted under one of its groups, the one that the fewest variants hold, with how far
+    into the variant it stands. A name that contains the variant contains that group.
     """
-    lengths = matcher.agg(F.array_sort(F.collect_set(F.length("variant")))).scalar()
-    pieces = (
-        names.select("name")
-        .withColumn("_lengths", lengths)
-        .withColumn("_length", F.explode("_lengths"))
-        .filter(F.length("name") >= F.col("_length"))
-        .withColumn("_start", F.explode(F.sequence(F.lit(1), F.expr("length(name) - _length + 1"))))
-        .select("name", F.col("name").substr(F.col("_start"), F.col("_length")).alias("variant"))
-    )
-    return (
-        pieces.join(matcher, "variant")
-        .groupBy("name")
-        .agg(F.min_by("active", F.struct("dict_pos", "name_pos")).alias("active"))
-    )
+    variants = matcher.filter("variant <> ''").select(
+        "variant", "active", F.struct("dict_pos", "name_pos").alias("place"))
+    found = with_grams(variants, "variant", gram_length(matcher, gram))
+    shared = found.groupBy("gram").agg(F.count_distinct("variant").alias("n_variants"))
+    rarest = F.min(F.struct("n_variants", "at", "gram")).alias("rarest")
+    return found.join(shared, "gram").groupBy("variant", "active", "place").agg(rarest).select(
+        F.col("rarest.gram").alias("gram"), (F.col("rarest.at") - 1).alias("into"), "variant", "active", "place")
+
+
+def _matched(names: DataFrame, matcher: DataFrame, gram: int) -> DataFrame:
+    """``name, active`` for the names whose ``text`` contains a variant; the first in dictionary order wins.
+
+    Names meet the postings by their groups of letters, and what is posted there is verified in
+    its place. So a name of n letters makes at most n rows at any size of the dictionary, and no
+    variant travels to the driver. An empty variant is contained in every text.
+    """
+    pieces = with_grams(names.select("name", "text"), "text", gram_length(matcher, gram))
+    start = F.col("at") - F.col("into")
+    in_place = (start >= 1) & (F.col("text").substr(start, F.length("variant")) == F.col("variant"))
+    found = pieces.join(gram_postings(matcher, gram), "gram").filter(in_place)
+    everywhere = matcher.filter("variant = ''").select(
+        F.struct(F.struct("dict_pos", "name_pos").alias("place"), "active").alias("hit"))
+    anyway = names.filter("text is not null").select(
+        "name", everywhere.agg(F.min("hit")).scalar().alias("hit")).filter("hit is not null")
+    hits = found.select("name", F.struct("place", "active").alias("hit")).unionByName(anyway)
+    return hits.groupBy("name").agg(F.min("hit").alias("hit")).select("name", F.col("hit.active").alias("active"))

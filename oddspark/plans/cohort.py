@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddspark.functions.demographics import age_to_years, lenient_cast, lenient_date
 from oddspark.functions.names import build_matcher
 from oddspark.operators.dedupe import dedupe_latest_version, report_key, valid_reports
-from oddspark.operators.matching import add_member_by_name, class_names, member_recognizer
+from oddspark.operators.matching import add_member_by_name, class_names
 from oddspark.workspace import materialize
 
 TABLES = ("reports", "drugs", "reactions", "outcomes", "indications")
@@ -105,7 +105,11 @@ def build_cohort(
     The report keys are a table and never a set in memory. Each detail table is reduced by one
     semi join; the planner broadcasts the keys when they turn out small.
     """
-    recognize = member_recognizer(build_matcher(dictionary))
+    names = class_names(drug, build_matcher(dictionary))
+
+    def recognize(rows: DataFrame) -> DataFrame:
+        return add_member_by_name(rows, names)
+
     ids = cohort_ids(recognize(drug), valid_reports(demo, scope))
     return _detail(demo, drug, reac, outc, indi, recognize, ids, scope)
 

@@ -8,7 +8,10 @@ from oddspark.operators.matching import (
     add_class_member,
     add_member_by_name,
     class_names,
+    gram_length,
+    gram_postings,
     matched_names,
+    with_grams,
 )
 from oddspark.sources.fixtures import inline_dictionary, list_dictionary
 
@@ -121,3 +124,29 @@ def test_dictionary_listing(spark):
     listed = [r[0] for r in list_dictionary(inline_dictionary(spark)).collect()]
     assert listed == ["dulaglutide", "exenatide", "liraglutide", "lixisenatide", "semaglutide",
                       "tirzepatide"]
+
+
+def test_postings_find_what_containment_finds_at_any_size(spark, rows):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcd éß") for _ in range(n))
+    names = sorted({text(rng.randint(0, 14)) for _ in range(300)})
+    for n_variants, shortest, gram in ((0, 1, 4), (3, 5, 4), (400, 2, 4), (400, 0, 3), (60, 4, 2)):
+        variants = sorted({text(rng.randint(shortest, 6)) for _ in range(n_variants)})
+        rng.shuffle(variants)
+        matcher = spark.createDataFrame(
+            [(v, f"active {i}", i // 3, i % 3) for i, v in enumerate(variants)],
+            "variant string, active string, dict_pos int, name_pos int")
+        found = matched_names(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), matcher, gram)
+        first = {n: next((f"active {i}" for i, v in enumerate(variants) if v in n), None) for n in names}
+        assert rows(found, "name", "active") == sorted(((n, a) for n, a in first.items() if a), key=repr)
+
+
+def test_a_name_makes_no_more_rows_than_letters_and_a_variant_one(spark):
+    length = gram_length(spark.sql("SELECT 'semaglutide' AS variant"))
+    for name in ("", "abc", "abcd", "insulin glargine"):
+        n = with_grams(spark.createDataFrame([(name,)], "t string"), "t", length).count()
+        assert n == max(0, len(name) - 3) <= len(name)
+    matcher = N.build_matcher(inline_dictionary(spark))
+    posted = gram_postings(matcher).collect()
+    assert len(posted) == matcher.count() == len({r["variant"] for r in posted})
+    assert all(r["variant"][r["into"]:].startswith(r["gram"]) and len(r["gram"]) == 4 for r in posted)
