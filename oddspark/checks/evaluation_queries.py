@@ -12,6 +12,7 @@ from oddspark.plans import search as H11
 from oddspark.plans import validation as H13
 from oddspark.plans.signals import scan_signals
 from oddspark.sources.tables import overwrite_table
+from oddspark.sources.versions import Store
 from oddspark.workspace import new_folder
 
 
@@ -58,10 +59,8 @@ def _(star):
 SELECT * FROM (WITH {_CENTROIDS} SELECT query, pt, round(similarity, 6) AS similarity, rank
 FROM ranked WHERE rank <= 25)""")
 def _(star):
-    hits = H11.similarities(_terms(star), _centroids(star))
-    return top_n_per(hits, "query", "similarity", 25, "pt").withColumn(
-        "rank", F.col("rank").cast("long")
-    )
+    found = H11.semantic_event_search(_terms(star), _centroids(star), 25, -1.0)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("knn_top_k_blocks", f"""
@@ -74,6 +73,17 @@ def _(star):
     )
 
 
+@query("search_in_cells", f"""
+SELECT * FROM (WITH {_CENTROIDS} SELECT query, pt, round(similarity, 6) AS similarity, rank
+FROM ranked WHERE rank <= 15 AND similarity >= 0.35)""")
+def _(star):
+    """The same search over terms stored by cell."""
+    store = Store(star.spark, new_folder(star.spark, "cells"))
+    cells = H11.write_search_cells(_terms(star), store, width=64)
+    found, _ = H11.search_in_cells(cells, _centroids(star))
+    return found.drop("query_id").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("semantic_event_search", f"""
 SELECT * FROM (WITH {_CENTROIDS} SELECT query, pt, round(similarity, 6) AS similarity, rank
 FROM ranked WHERE rank <= 15 AND similarity >= 0.35)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddspark import fixed_values as V
 from oddspark.functions.vectors import dot, norm
-from oddspark.operators.ranking import top_n_per
+from oddspark.operators.nearest import CENTRES, Cells, nearest, nearest_in_cells, write_cells
 from oddspark.schemas import EMBEDDINGS, QUERY_VECTORS
 from oddspark.sources.tables import read_if_exists, upsert_table
 from oddspark.sources.versions import Store
@@ -155,12 +155,43 @@ def semantic_event_search(
 
     The similarity bound applies after the top k are taken, so fewer may remain. Every row of
     ``queries`` has a ranking of its own, also if texts are equal; a ``query_id`` is returned too.
+    Blocks of queries meet blocks of terms where these lie; at most k rows of a query leave a task.
     """
     if not 1 <= top_k <= 30:
         raise ValueError("top_k is 1 to 30")
     named = "query_id" in queries.columns
-    if not named:
-        queries = queries.withColumn("query_id", F.monotonically_increasing_id())
-    best = top_n_per(similarities(corpus, queries), "query_id", "similarity", top_k, "pt")
-    best = best.filter(F.col("similarity") >= min_similarity)
+    asked, own = _asked(queries)
+    found = nearest(corpus.select(F.col("pt").alias("id"), "embedding"), asked, top_k)
+    best = _answered(found, own).filter(F.col("similarity") >= min_similarity)
     return best if named else best.drop("query_id")
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``query_id, vector`` with an id that holds the query's own columns, and a frame of those columns' types."""
+    if "query_id" not in queries.columns:
+        queries = queries.withColumn("query_id", F.monotonically_increasing_id())
+    own = queries.select("query_id", "query")
+    return queries.select(F.to_json(F.struct("query_id", "query")).alias("query_id"), "vector"), own
+
+
+def _answered(found: DataFrame, own: DataFrame) -> DataFrame:
+    """``query_id, query, pt, similarity, rank`` from the ids of ``_asked``."""
+    return found.withColumn("own", F.from_json("query_id", own.schema)).select(
+        "own.query_id", "own.query", F.col("id").alias("pt"), "similarity", "rank")
+
+
+def write_search_cells(corpus: DataFrame, store: Store, width: int = V.EMBEDDING_DIM, sample: int = CENTRES) -> Cells:
+    """Store the terms by cells, for searches that leave most of them unread."""
+    return write_cells(corpus.select(F.col("pt").alias("id"), "embedding"), store, width, sample)
+
+
+def search_in_cells(
+    cells: Cells, queries: DataFrame, top_k: int = 15, min_similarity: float = 0.35
+) -> tuple[DataFrame, DataFrame]:
+    """``semantic_event_search`` over stored cells with the same rows, and the share of the terms read per query."""
+    asked, own = _asked(queries)
+    best, read = nearest_in_cells(cells, asked, top_k)
+    whole = sum(n for n, _ in cells.sizes.values())
+    shares = read.withColumn("own", F.from_json("query_id", own.schema)).select(
+        "own.query_id", "own.query", (F.col("n_read") / whole).alias("share_read"))
+    return _answered(best, own).filter(F.col("similarity") >= min_similarity), shares
