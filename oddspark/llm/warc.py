@@ -1,5 +1,6 @@
 """WARC archives as a Spark data source, and pages written with revisit records for equal payloads."""
 
+import contextlib
 import hashlib
 import io
 import json
@@ -84,16 +85,20 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of bounded size; only those of tasks that ended well are listed."""
+    """Each task writes files of bounded size; only those of tasks that ended well are listed.
+
+    A job writes below a folder of its own. What its lost or doubled attempts leave there is in no
+    manifest, and is not taken for an archive that someone else put beside it.
+    """
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.most = int(options.get("maxFileBytes", 128 << 20))
         self.date = options.get("date", "2000-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = place(self.path)
-        system.create_dir(root, recursive=True)
+        system.create_dir(posixpath.join(root, self.job), recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
             for row in zip(*[batch.column(c).to_pylist() for c in WRITE.names], strict=True):
@@ -101,7 +106,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size + len(data) > self.most:
                     if out is not None:
                         out.close()
-                    files.append([f"{uuid.uuid4().hex}.warc.gz", 0])
+                    files.append([f"{self.job}/{uuid.uuid4().hex}.warc.gz", 0])
                     out, size = system.open_output_stream(
                         posixpath.join(root, files[-1][0]), compression=None), 0
                 out.write(data)
@@ -115,15 +120,20 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = place(self.path)
         system.create_dir(root, recursive=True)
         new = {name: size for m in messages if m is not None for name, size in m.files}
-        old = {} if self.overwrite else dict(files_of(system, root))
-        listed = [*(old | new).items()]
+        old = dict(files_of(system, root))
+        listed = [*({} if self.overwrite else old).items(), *new.items()]
         with system.open_output_stream(posixpath.join(root, MANIFEST)) as out:
             out.write(json.dumps(listed).encode())
+        if self.overwrite:
+            self.delete(old)
 
     def abort(self, messages) -> None:
+        self.delete(name for m in messages if m is not None for name, _ in m.files)
+
+    def delete(self, names) -> None:
         system, root = place(self.path)
-        for m in messages:
-            for name, _ in m.files if m is not None else []:
+        for name in names:
+            with contextlib.suppress(FileNotFoundError):
                 system.delete_file(posixpath.join(root, name))
 
 

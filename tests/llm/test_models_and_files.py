@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -232,3 +233,37 @@ def test_runs_across_ranges_equal_one_stack():
             stack += [(p, k) for k in range(pieces)]
         got = [((gp, first + k), (pp, last - 1 - k)) for _, gp, first, n, pp, last in packing.across(parts) for k in range(n)]
         assert sorted(got) == sorted(want)
+
+
+def test_lost_and_doubled_attempts_are_in_no_manifest(spark, tmp_path):
+    """An attempt whose message never came, one that broke off, a job that failed, and an overwrite."""
+    folder = str(tmp_path)
+    rows = lambda *names: iter([pa.RecordBatch.from_pylist([
+        {"record_type": "response", "record_id": f"<urn:page:{n}>", "payload": b"x"} for n in names], pa.schema(
+            [(c, pa.binary() if c == "payload" else pa.string()) for c in warc.WRITE.names]))])
+    read = lambda: sorted(r.record_id for r in spark.read.format("warc").load(folder).collect())
+
+    def broken():
+        yield from rows("half")
+        raise RuntimeError("lost")
+
+    warc.register(spark)
+    (tmp_path / "foreign.warc").write_bytes(warc.record("response", "<urn:page:f>", None, None, None, b"f", "t"))
+    failed = warc.WarcWriter({"path": folder}, False)
+    failed.write(rows("never"))
+    writer = warc.WarcWriter({"path": folder}, False)
+    writer.write(rows("1", "2"))
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    writer.commit([writer.write(rows("1", "2")), None, writer.write(rows("3"))])
+    assert read() == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>", "<urn:page:f>"]
+    more = warc.WarcWriter({"path": folder}, False)
+    gone = more.write(rows("5"))
+    more.abort([gone, None])
+    more.commit([more.write(rows("4"))])
+    assert len(read()) == 5
+    instead = warc.WarcWriter({"path": folder}, True)
+    instead.commit([instead.write(rows("9"))])
+    assert read() == ["<urn:page:9>"]
+    held = [name for name, _ in warc.files_of(*warc.place(folder))]
+    assert len(held) == 1 and not (tmp_path / "foreign.warc").exists()
