@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddspark.llm.shared import Work, numbered, same
+from oddspark.llm.shared import Work, free_name, numbered, same
 
 #: Words of a block. Every block costs the same nothing, as no block becomes a row; small ones
 #: bring each source closer to its target.
@@ -142,7 +142,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as its taken words say, rounded to whole copies.
 
-    Rows equal in doc_id, text and source share their copies evenly.
+    Rows equal in doc_id, text and source share their copies evenly. Documents without words, so also
+    null and empty texts, bring no words to the mix and are not in it; an empty table gives an
+    empty one. A null doc_id or source is a value like any other. All columns are returned,
+    whatever their names.
     """
     work = Work(docs.sparkSession, "mix")
     copies = (mix_sources(docs, work=work, **options).groupBy("doc_id", "row_hash")
@@ -153,5 +156,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     on = (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
           & (F.xxhash64("d.text", "d.source") == F.col("c.row_hash")))
     return (docs.alias("d").join(copies.alias("c").hint("merge"), on)
-            .select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy"))
+            .select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(free_name(docs, "copy_number")))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -127,3 +127,12 @@ def test_mixed_documents_repeat_whole_rows(documents):
     times = Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == docs.columns and max(times.values()) <= 3 and all(times[k] == 3 for k in range(5))
     assert mixing.mixed_documents(documents([])).count() == 0
+
+
+def test_the_mix_keeps_columns_of_any_name(documents):
+    docs = documents([(k, PROSE, "en", "a") for k in range(6)] + [(9, "", "en", "a"), (10, None, "en", "b")])
+    docs = docs.withColumnsRenamed({"score": "_copy", "key": "copies"}).selectExpr("*", "1 AS copy_number")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {r.doc_id for r in mixed.collect()} == set(range(6))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
