@@ -15,8 +15,9 @@ from oddspark.llm.shared import Work
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 #: Names of a bucket that one task compares, about.
 BUCKET = 1_000_000
-#: Bytes of a name that travel; the bucket holds the leading bits.
-SENT = {"names": 6, "strings": 7}
+#: Bytes of a name that travel. Names of samples only say what is worth comparing, so their low bytes do;
+#: names of strings decide and travel whole.
+SENT = {"names": 6, "strings": 8}
 
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0xD1342543DE82EF95
@@ -91,7 +92,7 @@ def dealt(name, owner, place, keys, buckets: int, width: int):
     other = (keys[owner] != keys[owner[first]][group]) | (place != place[first][group])
     known = np.bincount(group, other, len(first)) > 0
     twice = known[group]
-    bucket = (((name[first] >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
+    bucket = (((name[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     rows = {c: [] for c in ("bucket", "known", "keys", "owner", "place", "name")}
     tag = 2 * bucket + known
     by = np.lexsort((place[first], owner[first], tag))
@@ -219,18 +220,20 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     Names are 64-bit hashes computed from the text, not ranks got by recursion, as nothing is
     compared beyond ``length`` bytes. Two different strings with one hash would count as equal.
 
-    Equal texts are handled once; if they reach ``length``, all of their bytes go. Null and empty
-    texts have no bytes. A text's own repeats count. Repeated rows are copies of each other. Texts
-    of any length are read whole; matches never cross documents. An empty table gives an empty one; other
-    columns are not read.
+    Equal texts are handled once; if they reach ``length``, all of their bytes go. Texts move once,
+    one of each per task, to meet the places found; those with such places are stored, and only
+    their lengths and digests meet the documents again. Null and empty texts have no bytes. A
+    text's own repeats count. Repeated rows are copies of each other. Texts of any length are read
+    whole; matches never cross documents. An empty table gives an empty one; other columns are not read.
     """
     spark, work, reach = docs.sparkSession, Work(docs.sparkSession, "strings"), length - PERIOD + 1
     text = F.coalesce("text", F.lit(""))
-    ready = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
+    ready = docs.select("doc_id", text.alias("text")).withColumns({
+        "key": F.xxhash64("text"), "n": F.octet_length("text").cast("long"), "whole_sha256": F.sha2("text", 256)})
     classes = work.store(ready.groupBy("key").agg(
-        F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("n")), "classes")
+        F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, min(1 << 16, -(-total * len(COVER) // (PERIOD * BUCKET))))
+    buckets = max(1, -(-total * len(COVER) // (PERIOD * BUCKET)))
 
     def named(batches):
         powers = Powers()
@@ -258,15 +261,9 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     hits = work.store(by_bucket(hits, "slot", unpacked, FOUND), "hits")
 
     def stringed(batches):
-        powers, last = Powers(), None
+        powers = Powers()
         for batch in slices(batches):
-            keys = np.array(batch.column("key"))
-            new = np.ones(len(keys), bool)
-            new[1:], new[0] = keys[1:] != keys[:-1], keys[0] != last
-            last, batch = keys[-1], batch.filter(pa.array(new))
-            if not batch.num_rows:
-                continue
-            keys, (data, bounds) = keys[new], joined_text(batch)
+            keys, (data, bounds) = np.array(batch.column("key")), joined_text(batch)
             sums = prefix_sums(data, powers)
             at = [candidates(int(n), unplaned(p, 4).astype(np.int64), length)
                   for n, p in zip(np.diff(bounds), batch.column("places").to_pylist(), strict=True)]
@@ -275,40 +272,48 @@ def dedup_strings(docs: DataFrame, length: int = 200) -> DataFrame:
             if len(place):
                 yield dealt(names(sums, bounds[owner] + place, length, powers), owner, place, keys, buckets, SENT["strings"])[0]
 
-    met = ready.select("key", "text").join(hits.hint("merge"), "key")
+    # One text of each key leaves a task; the join finds them dealt by key already.
+    texts = ready.groupBy("key").agg(F.max("text").alias("text")).join(hits.hint("merge"), "key")
+    texts = work.store(texts, "texts")
+    work.drop("hits")
     # What returns are the candidates that do not repeat, the fewer ones.
-    single = work.store(bucketed(met.mapInArrow(stringed, SENT_ROWS), SENT["strings"], False, buckets), "single")
-    single = single.withColumnRenamed("places", "single")
-    marks = work.store(classes.join(hits, "key", "left").join(single, "key", "left").where(
-        "copies > 1 or places is not null").select("key", "copies", "places", "single"), "marks")
-    work.drop("hits", "single")
+    sent = texts.select("key", "text", "places").mapInArrow(stringed, SENT_ROWS)
+    single = work.store(bucketed(sent, SENT["strings"], False, buckets), "single").withColumnRenamed("places", "single")
 
     def finished(batches):
         for batch in slices(batches):
             out = []
-            for text, copies, places, alone in zip(*[batch.column(c).to_pylist() for c in ("text", "copies", "places", "single")], strict=True):
-                raw, spans = text.encode("utf-8", "surrogatepass"), []
-                if copies is not None and copies > 1 and len(raw) >= length:
-                    spans = [(0, len(raw))]
-                elif places:
-                    starts = candidates(len(raw), unplaned(places, 4).astype(np.int64), length)
-                    starts = np.setdiff1d(starts, unplaned(alone or b"", 4).astype(np.int64), assume_unique=True)
-                    spans = removed_spans(len(raw), starts, length)
-                kept, at = [], 0
+            for text, places, alone in zip(*[batch.column(c).to_pylist() for c in ("text", "places", "single")], strict=True):
+                raw, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
+                starts = candidates(len(raw), unplaned(places, 4).astype(np.int64), length)
+                starts = np.setdiff1d(starts, unplaned(alone or b"", 4).astype(np.int64), assume_unique=True)
+                spans = removed_spans(len(raw), starts, length)
                 for a, b in spans:
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                out.append((len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return ready.join(marks.hint("merge"), "key", "left").select("doc_id", "text", "copies", "places", "single").mapInArrow(
-        finished, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                [batch.column("key"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                ["key", "removed", "spans", "rest_sha256", "rest"])
+
+    cut = texts.join(single.hint("merge"), "key", "left").select("key", "text", "places", "single").mapInArrow(
+        finished, "key long, removed long, spans long, rest_sha256 string, rest binary")
+    cut = work.store(cut, "cut")
+    work.drop("texts", "single")
+    # Copies go whole if they are long enough; shorter ones can't hold a string of that length.
+    marks = classes.select("key", ((F.col("copies") > 1) & (F.col("n") >= length)).alias("copied")).join(
+        cut, "key", "left").where("copied or removed is not null")
+    joined = ready.join(marks.hint("merge"), "key", "left")
+    case = lambda copied, found, none: F.when(F.col("copied"), copied).otherwise(F.coalesce(found, none))
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    return joined.select(
+        "doc_id", F.col("n").alias("n_bytes"), case(F.col("n"), F.col("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        case(F.lit(1), F.col("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        case(empty, F.col("rest_sha256"), F.col("whole_sha256")).alias("kept_sha256"),
+        case(F.lit(b""), F.col("rest"), F.col("text").cast("binary")).alias("kept"))
 
 
 SENT_NAMES = [x.split()[0] for x in SENT_ROWS.split(", ")]
