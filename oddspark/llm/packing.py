@@ -1,5 +1,7 @@
 """Token sequences packed by best fit, in rounds of range-sorted sweeps."""
 
+import functools
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -8,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +24,68 @@ SWEPT = 200_000
 UNEVEN = r" [\s\p{Z}\x{85}\x{1c}-\x{1f}]|[\s\p{Z}\x{85}\x{1c}-\x{1f}] "
 
 
+#: Letters beyond Latin: their classes may be newer than one of the two coders, so only one codes them.
+BEYOND_LATIN = r"[^\x{0}-\x{24f}]"
+#: How byte-level tokenizers part a text (a fixed value).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merged(parts: list[bytes], ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """Parts joined pair by pair, the lowest rank first, as long as one below the limit is left."""
+    while True:
+        pairs = [(ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+        rank, i = min(pairs, default=(below, 0))
+        if rank >= below:
+            return parts
+        parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
+
+
+@functools.cache
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as byte strings, if joining the pair whose union has the smallest id is what the tokenizer does; else None.
+
+    That holds for byte-level pair merging whose ids rise in the order of the merges, if every token, joined
+    from its bytes by lower ranks alone, ends as the pair that it is listed with: inside the bytes of a
+    token nothing else can then have come about.
+    """
+    with open(path, encoding="utf-8") as file:
+        full = json.load(file)
+    model, split = full["model"], full.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+             and not full.get("normalizer") and split.get("type") == "ByteLevel"
+             and split.get("use_regex") and not split.get("add_prefix_space")
+             and all(t["special"] for t in full.get("added_tokens", ())))
+    if not plain:
+        return None
+    letters, special = byte_letters(), {t["content"] for t in full.get("added_tokens", ())}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    pairs = [tuple(bytes(letters[c] for c in part) for part in pair) for pair in pairs]
+    ids = [ranks.get(a + b, -1) for a, b in pairs]
+    singles = {bytes([b]) for b in range(256)}
+    rising = all(x < y for x, y in zip(ids, ids[1:])) and len(ranks) == len(singles) + len(pairs) and singles <= ranks.keys()
+    # A token's bytes are joined up to its own rank, and must come to the two parts it is listed with.
+    agree = rising and all(merged([bytes([c]) for c in a + b], ranks, i) == [a, b] for (a, b), i in zip(pairs, ids))
+    return ranks if agree else None
+
+
 class Coder:
     """Ids of texts. Words recur, so each distinct one between single spaces is coded once a batch.
 
     The tokenizer never joins across such a space: a word with the space before it is coded as in its
-    text. Texts with other white space around spaces are coded whole.
+    text. Texts with other white space around spaces are coded whole. With ``ranks`` (``byte_ranks``)
+    Latin words go through the faster coder, which gives the same ids; others and vocabularies of another
+    kind through the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,20 +94,31 @@ class Coder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.quick = tiktoken.Encoding("bytes", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def coded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that begin with a space each, and how many each has.
+    def coded_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words that begin with a space each, where each word's begin, and how many each has.
 
         They are coded as long texts; as a space stands only before a word, an id whose token
         begins with one begins a word.
         """
-        texts = ["".join(words[k:k + 5000]) for k in range(0, len(words), 5000)]
-        flat = np.array([i for ids in self.coded(texts) for i in ids], np.uint32)
-        begin = np.flatnonzero(self.spaced[flat])
-        return flat, np.diff(np.append(begin, len(flat)))
+        beyond = np.asarray(pc.match_substring_regex(words, BEYOND_LATIN))
+        order = np.argsort(beyond, kind="stable")
+        rows = words.take(pa.array(order)).to_pylist()
+        parts = [rows[:len(rows) - int(beyond.sum())], rows[len(rows) - int(beyond.sum()):]]
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(ids, np.uint32) for part in parts for ids in self.coded(
+            ["".join(part[k:k + 5000]) for k in range(0, len(part), 5000)])]])
+        first = np.flatnonzero(self.spaced[flat])
+        begin, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[order], sizes[order] = first, np.diff(np.append(first, len(flat)))
+        return flat, begin, sizes
 
     def coded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.quick is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        beyond = pc.match_substring_regex(pa.array(texts, pa.large_string()), BEYOND_LATIN).to_pylist()
+        slow = iter(self.tokenizer.encode_batch_fast([t for t, b in zip(texts, beyond, strict=True) if b], add_special_tokens=False))
+        return [next(slow).ids if b else self.quick.encode_ordinary(t) for t, b in zip(texts, beyond, strict=True)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry than texts)."""
@@ -60,15 +128,20 @@ class Coder:
         owner, words = np.asarray(pc.list_parent_indices(lists)), pc.list_flatten(lists)
         first = np.ones(len(owner), bool)
         first[1:] = owner[1:] != owner[:-1]
-        kept = ~(np.isin(owner, whole) | first)
+        uneven = np.zeros(len(texts), bool)
+        uneven[whole] = True
+        uneven = uneven[owner]
+        kept = ~(uneven | first)
         spaced = pc.binary_join_element_wise(
             pa.scalar("", pa.large_string()), words.filter(pa.array(kept)), pa.scalar(" ", pa.large_string()))
         known = pc.dictionary_encode(spaced)
-        flat, sizes = self.coded_words(known.dictionary.to_pylist())
+        flat, begin, sizes = self.coded_words(known.dictionary)
         # First words have no space before them; they and uneven texts are coded one by one.
-        alone = first & ~np.isin(owner, whole)
+        alone = first & ~uneven
         single = self.coded(words.filter(pa.array(alone)).to_pylist() + texts.take(pa.array(whole)).to_pylist())
-        sizes = np.concatenate([sizes, [len(c) for c in single]]).astype(np.int64)
+        lengths = np.array([len(c) for c in single], np.int64)
+        begin = np.concatenate([begin, len(flat) + np.cumsum(lengths) - lengths])
+        sizes = np.concatenate([sizes, lengths])
         flat = np.concatenate([flat, np.array([i for c in single for i in c], np.uint32)])
         rank = np.flatnonzero(alone)
         index = np.zeros(len(owner), np.int64)
@@ -79,7 +152,6 @@ class Coder:
         owner = np.concatenate([owner[used], whole])
         order = np.argsort(owner, kind="stable") if len(whole) else slice(None)
         owner, index = owner[order], index[order]
-        begin = np.cumsum(sizes) - sizes
         n = sizes[index]
         stop = np.cumsum(n)
         ids = flat[np.repeat(begin[index] - (stop - n), n) + np.arange(n.sum())]
@@ -87,10 +159,10 @@ class Coder:
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
-def cut(path: str, capacity: int, end: int):
+def cut(path: str, capacity: int, end: int, ranks: dict[bytes, int] | None = None):
     """Batches of (doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32, ids."""
     def run(batches):
-        coder = Coder(path)
+        coder = Coder(path, ranks)
         for large in batches:
             for lo in range(0, large.num_rows, 4000):
                 batch = large.slice(lo, 4000)
@@ -275,7 +347,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(
-        cut(path, CAPACITY, end),
+        cut(path, CAPACITY, end, byte_ranks(path)),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     pieces = pieces if with_ids else pieces.drop("ids")
     pieces = work.store(pieces.withColumn("id", F.monotonically_increasing_id()), "pieces")

@@ -267,3 +267,27 @@ def test_lost_and_doubled_attempts_are_in_no_manifest(spark, tmp_path):
     assert read() == ["<urn:page:9>"]
     held = [name for name, _ in warc.files_of(*warc.place(folder))]
     assert len(held) == 1 and not (tmp_path / "foreign.warc").exists()
+
+
+def test_both_coders_give_the_same_ids(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ranks, plain = packing.byte_ranks(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert len(ranks) == 50256
+    random.seed(8)
+    letters = ["a", "e", "th", "ing", "é", "ß", "Ω", "中", "ſ", "ǅ", "ɐ", "\u1c8a", "\n", "\n\n", "\t", "\x85", "\u3000", "  ", " ", " ", " ",
+               "'s", "'", ".", ",", "12", "<|endoftext|>", "😀", "\u0301", "\x1c", "_"]
+    texts = ["".join(random.choices(letters, k=random.randint(0, 40))) for _ in range(600)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for coder in (packing.Coder(path, ranks), packing.Coder(path)):
+        flat, bounds = coder(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    # A vocabulary whose tokens also come about in another way is left to the tokenizer.
+    import json
+    full = json.load(open(path, encoding="utf-8"))
+    full["model"]["merges"][40000:40002] = full["model"]["merges"][40000:40002][::-1]
+    (tmp_path / "t.json").write_text(json.dumps(full))
+    assert packing.byte_ranks(str(tmp_path / "t.json")) is None
+    full["normalizer"] = {"type": "NFC"}
+    (tmp_path / "n.json").write_text(json.dumps(full))
+    assert packing.byte_ranks(str(tmp_path / "n.json")) is None
