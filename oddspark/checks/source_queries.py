@@ -109,6 +109,61 @@ def _(star):
     return profile.withColumn("first_columns", joined("first_columns"))
 
 
+def _quarter_files(star, df, name):
+    """Text files below a folder for each quarter, as they are delivered."""
+    root = new_folder(star.spark, name)
+    df.write.partitionBy("faers_quarter").option("sep", "$").option("header", True).csv(root)
+    return root
+
+
+@query("ingest", """
+SELECT primaryid, caseid, caseversion, sex, age, 'faers_quarter=' || faers_quarter AS faers_quarter FROM demo""")
+def _(star):
+    """Text files of all quarters, stored as one version and read back."""
+    root, path = _quarter_files(star, star.demo, "demo-text"), new_folder(star.spark, "ingested")
+    report = delimited.ingest(star.spark, root, path, ["part", "absent"], ".csv").collect()
+    if {r["table_name"]: r["status"] for r in report} != {"part": "OK", "absent": "MISSING"}:
+        raise ValueError(f"not all rows came in: {report}")
+    columns = ["primaryid", "caseid", "caseversion", "sex", "age", "faers_quarter"]
+    return Store(star.spark, path).read("part").select(*columns)
+
+
+@query("profile_files", """
+SELECT 'part' AS table_name, 'faers_quarter=' || faers_quarter AS faers_quarter, count(*) AS n_rows, 11 AS n_columns,
+  0::BIGINT AS n_short, 0::BIGINT AS n_surplus, 'OK' AS status FROM demo GROUP BY ALL""")
+def _(star):
+    files = delimited.profile_files(star.spark, _quarter_files(star, star.demo, "demo-text"), ["part"], ".csv")
+    per_quarter = files.groupBy("table_name", "faers_quarter", "n_columns", "status")
+    return per_quarter.agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_short", "n_surplus")])
+
+
+@query("publish_all", """
+SELECT 'glp1_drugs' AS table_name, 3 AS n_source, 3 AS n_target, 'OK' AS status UNION ALL
+SELECT 'reports', count(*), count(*), 'OK' FROM reports UNION ALL
+SELECT 'drugs', count(*), count(*), 'OK' FROM drugs UNION ALL
+SELECT 'reactions', count(*), count(*), 'OK' FROM reactions UNION ALL
+SELECT 'outcomes', count(*), count(*), 'OK' FROM outcomes UNION ALL
+SELECT 'indications', count(*), count(*), 'OK' FROM indications UNION ALL
+SELECT 'glp1_signals', count(*), count(*), 'OK' FROM signals UNION ALL
+SELECT 'pt_embeddings', count(*), count(*), 'OK' FROM embeddings""")
+def _(star):
+    """All eight tables; each source is computed once."""
+    cohort = star.cohort
+    return tables.publish_reconciled(
+        {
+            "glp1_drugs": star.dictionary,
+            "reports": cohort.reports,
+            "drugs": cohort.drugs,
+            "reactions": cohort.reactions,
+            "outcomes": cohort.outcomes,
+            "indications": cohort.indications,
+            "glp1_signals": scan_signals(star.background),
+            "pt_embeddings": star.table("embeddings").select(F.col("vec_id").alias("pt"), "embedding"),
+        },
+        new_folder(star.spark, "published"),
+    )
+
+
 @query("append_table", """
 SELECT prod_ai, role_cod, count(*) AS n_rows FROM (
   SELECT nullif(prod_ai, '') AS prod_ai, role_cod FROM drug UNION ALL

@@ -1,8 +1,6 @@
 """Parquet tables: store by quarter, read with pruning, append, replace, merge and publish."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -10,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 from oddspark import fixed_values as V
 from oddspark.functions.demographics import all_of, any_of
 from oddspark.operators.upsert import new_rows, upsert_by_key
+from oddspark.workspace import delete_folder, local_table, new_folder, stored
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -83,7 +82,8 @@ def publish_reconciled(
 ) -> DataFrame:
     """Copy the listed columns of the listed tables, in order, then compare row counts.
 
-    An empty source is skipped and leaves the target as it is. Returns
+    Every source is computed once, into the shared folder, and its rows are counted on the way; the
+    target's are counted as they lie there. An empty source is skipped and leaves the target as it is. Returns
     ``table_name, n_source, n_target, status`` with status OK, WARNING or SKIPPED. Tables without
     listed columns are refused before anything is written.
     """
@@ -92,28 +92,19 @@ def publish_reconciled(
         raise ValueError(f"no columns are listed for {', '.join(unknown)}")
     if not tables:
         raise ValueError("no tables to publish")
-    published = [t for t in columns if t in tables]
-    reports = []
-    for table in published:
-        source, path = tables[table], f"{target}/{table}"
-        skipped = source.isEmpty()
-        if not skipped:
-            overwrite_table(source.select(*columns[table]), path)
-        chosen = source.select(*columns[table])
-        stored = read_if_exists(source.sparkSession, path, chosen.schema)
-        status = F.when(F.lit(skipped), "SKIPPED").when(
-            F.col("n_source") == F.col("n_target"), "OK"
-        )
-        reports.append(
-            source.sparkSession.range(1)
-            .select(
-                F.lit(table).alias("table_name"),
-                chosen.agg(F.count(F.lit(1))).scalar().alias("n_source"),
-                stored.agg(F.count(F.lit(1))).scalar().alias("n_target"),
-            )
-            .withColumn("status", status.otherwise("WARNING"))
-        )
-    return reduce(DataFrame.unionByName, reports)
+    report = []
+    for table in [t for t in columns if t in tables]:
+        source, path, seen = tables[table].select(*columns[table]), f"{target}/{table}", Observation()
+        spark, draft = source.sparkSession, new_folder(source.sparkSession, table)
+        staged = stored(source.observe(seen, F.count(F.lit(1)).alias("n_source")), draft)
+        n_source = seen.get["n_source"]
+        if n_source:
+            overwrite_table(staged, path)
+        n_target = read_if_exists(spark, path, source.schema).count()
+        delete_folder(spark, draft)
+        status = "SKIPPED" if not n_source else "OK" if n_source == n_target else "WARNING"
+        report.append({"table_name": table, "n_source": n_source, "n_target": n_target, "status": status})
+    return local_table(spark, report, "table_name string, n_source long, n_target long, status string")
 
 
 def rows_to_json(df: DataFrame, name: str = "json") -> DataFrame:

@@ -70,12 +70,39 @@ def stored_values(spark: SparkSession, path: str, column: str) -> dict[str, str]
     return found
 
 
-def local_table(spark: SparkSession, records: list[dict], schema: T.StructType) -> DataFrame:
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """The paths of all files below a folder, but for hidden ones. The driver sees names, never contents."""
+    files, folder = _on_disk(spark, path)
+    found, walk = [], files.listFiles(folder, True)
+    depth = len(files.makeQualified(folder).toString().rstrip("/").split("/"))
+    while walk.hasNext():
+        name = walk.next().getPath().toString()
+        if not any(part.startswith(("_", ".")) for part in name.split("/")[depth:]):
+            found.append(name)
+    return sorted(found)
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file, compressed or not; None if it is empty. Nothing behind it is read."""
+    files, file = _on_disk(spark, path)
+    io, hadoop = spark._jvm.java.io, spark._jvm.org.apache.hadoop.io.compress
+    stream = files.open(file)
+    try:
+        codec = hadoop.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(file)
+        source = codec.createInputStream(stream) if codec else stream
+        return io.BufferedReader(io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def local_table(spark: SparkSession, records: list[dict], schema: T.StructType | str) -> DataFrame:
     """A table of records that the caller holds; missing fields are null.
 
     Built from Arrow, so that its size is known to the planner, which broadcasts it only below
     its own threshold.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     complete = [{name: record.get(name) for name in schema.names} for record in records]
     empty = [dict.fromkeys(schema.names)]
     table = pa.Table.from_pylist(complete) if complete else pa.Table.from_pylist(empty).slice(0, 0)
