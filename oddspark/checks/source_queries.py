@@ -117,7 +117,7 @@ def _quarter_files(star, df, name):
 
 
 @query("ingest", """
-SELECT primaryid, caseid, caseversion, sex, age, 'faers_quarter=' || faers_quarter AS faers_quarter FROM demo""")
+SELECT primaryid, caseid, caseversion::VARCHAR AS caseversion, sex, age, 'faers_quarter=' || faers_quarter AS faers_quarter FROM demo""")
 def _(star):
     """Text files of all quarters, stored as one version and read back."""
     root, path = _quarter_files(star, star.demo, "demo-text"), new_folder(star.spark, "ingested")
@@ -125,7 +125,8 @@ def _(star):
     if {r["table_name"]: r["status"] for r in report} != {"part": "OK", "absent": "MISSING"}:
         raise ValueError(f"not all rows came in: {report}")
     columns = ["primaryid", "caseid", "caseversion", "sex", "age", "faers_quarter"]
-    return Store(star.spark, path).read("part").select(*columns)
+    stored = Store(star.spark, path).read("part").withColumn("caseversion", F.col("caseversion").cast("string"))
+    return stored.select(*columns)
 
 
 @query("profile_files", """
