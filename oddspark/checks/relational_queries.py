@@ -169,17 +169,17 @@ def _(star):
 
 @query("quarter_totals", "SELECT * FROM quarter_totals")
 def _(star):
-    return star.background.quarter_totals
+    return star.live_background.quarter_totals
 
 
 @query("event_totals", "SELECT * FROM event_totals")
 def _(star):
-    return star.background.event_totals
+    return star.live_background.event_totals
 
 
 @query("drug_event_counts", "SELECT * FROM drug_event_counts")
 def _(star):
-    return star.background.drug_event_counts
+    return star.live_background.drug_event_counts
 
 
 @query("sum_over_quarters", f"""
@@ -358,7 +358,7 @@ UNION ALL SELECT 'reactions', primaryid, pt, drug_rec_act, 0 FROM reactions
 UNION ALL SELECT 'outcomes', primaryid, outc_cod, '', 0 FROM outcomes
 UNION ALL SELECT 'indications', primaryid, indi_pt, '', indi_drug_seq FROM indications""")
 def _(star):
-    c = star.cohort
+    c = star.live_cohort
     zero, empty = F.lit(0.0), F.lit("")
     parts = [
         ("reports", c.reports, "age_unit", "sex", F.col("age")),

@@ -4,14 +4,16 @@ An order is a report, its customer the case and the person, a line item is both
 (the brand of its part) and a reaction (type and size band of its part).
 """
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddspark.plans.background import Background, build_background
-from oddspark.plans.cohort import Cohort, build_cohort
+from oddspark.plans.background import Background, build_background, read_background, write_background
+from oddspark.plans.cohort import Cohort, build_cohort, read_cohort, write_cohort
 from oddspark.sources.fixtures import inline_dictionary
+from oddspark.workspace import new_folder
 
 # A drug class among the brands: order matters, as 'brand#1' is part of 'brand#11' and others.
 STAR_CLASS = [
@@ -21,6 +23,10 @@ STAR_CLASS = [
 ]
 
 
+#: Where this process has stored what was built from a folder.
+STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Star:
     """Lazy views for one data folder."""
 
@@ -157,15 +163,36 @@ class Star:
         return inline_dictionary(self.spark, STAR_CLASS)
 
     @cached_property
-    def background(self) -> Background:
+    def live_background(self) -> Background:
+        """The counts as a lazy plan over the tables."""
         return build_background(self.demo_core, self.drug, self.reac)
 
     @cached_property
-    def cohort(self) -> Cohort:
+    def live_cohort(self) -> Cohort:
         return build_cohort(
             self.demo, self.drug, self.reac, self.outc, self.indi, self.dictionary
         )
 
+    @cached_property
+    def background(self) -> Background:
+        """The counts as readers find them: built and stored once for this folder and application."""
+        path = self._stored("background", lambda path: write_background(self.demo_core, self.drug, self.reac, path))
+        return read_background(self.spark, path)
+
+    @cached_property
+    def cohort(self) -> Cohort:
+        path = self._stored("cohort", lambda path: write_cohort(
+            self.demo, self.drug, self.reac, self.outc, self.indi, self.dictionary, path))
+        return read_cohort(self.spark, path)
+
+    def _stored(self, kind: str, write: Callable[[str], object]) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder, kind)
+        if key not in STORED:
+            path = new_folder(self.spark, kind)
+            write(path)
+            STORED[key] = path
+        return STORED[key]
+
     @cached_property
     def known(self) -> DataFrame:
         """Known items: every brand with its smallest and middle band and a term never seen."""
