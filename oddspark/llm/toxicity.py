@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 #: Labelled documents that the field is fitted on, per label: a bounded sample, by checksum of the
 #: doc_id. Everything else is scored whole.
 SAMPLE = {1: 800, 0: 2000}
-#: A chain is a sentence; the rare longer ones are cut after so many tokens.
-LONGEST = 64
+#: A chain is a whole sentence, however long. Messages run along so many tokens of all chains at once;
+#: a longer chain's blocks are joined by their transfer matrices, which gives the same marginals.
+BLOCK = 64
 BUCKETS = 1 << 20
 LAST = BUCKETS - 1
 MARKS = string.punctuation + "\u201c\u201d\u2018\u2019\u00ab\u00bb\u2026\u2013\u2014"
@@ -37,17 +38,64 @@ def beginnings(token: str) -> list[str]:
 
 
 def chained(text_ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains: a text or a sentence ends one, and so does LONGEST."""
-    n = len(text_ids)
+    """Starts and lengths of the chains: the end of a text or of a sentence ends one."""
     last = ends.copy()
     last[:-1] |= text_ids[1:] != text_ids[:-1]
     last[-1:] = True
     begin = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    length = np.diff(np.concatenate([begin, [n]]))
-    pieces = -(-length // LONGEST)
-    of = np.repeat(np.arange(len(begin)), pieces)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return begin[of] + nth * LONGEST, np.minimum(length[of] - nth * LONGEST, LONGEST)
+    return begin, np.diff(np.concatenate([begin, [len(text_ids)]]))
+
+
+def passed(odds: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Log-odds of 'toxic' behind a step (or several) with these scores of tag pairs."""
+    return (np.logaddexp(scores[0, 1], odds + scores[1, 1]) - np.logaddexp(scores[0, 0], odds + scores[1, 0]))
+
+
+def run_along(odds: np.ndarray, emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> None:
+    """Fill ``odds`` behind the first token of every stretch."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    for k in range(1, lengths[0] if len(lengths) else 0):
+        at = starts[:np.searchsorted(-lengths, -k, "left")] + k
+        odds[at] = emit[at] + passed(odds[at - 1], move)
+
+
+def transfers(emit: np.ndarray, starts: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Log scores (2 x 2 x blocks) from the tag before a block of BLOCK tokens to its last one."""
+    tag = np.array([0.0, 1.0])[None, :, None]
+    scores = move[:, :, None] + tag * emit[starts]
+    for k in range(1, BLOCK):
+        scores = np.logaddexp(scores[:, :1] + move[0][None, :, None], scores[:, 1:] + move[1][None, :, None])
+        scores += tag * emit[starts + k]
+    return scores
+
+
+def messages(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward log-odds of 'toxic' per token, its own score included.
+
+    The first blocks of all chains are run token by token. Then the odds at the end of every
+    further block follow from those at the end of the one before by the block's transfer scores,
+    and at last all further blocks are run at once: about n / BLOCK steps for a chain of n tokens.
+    """
+    odds = np.array(emit, float)
+    blocks = -(-lengths // BLOCK)
+    of = np.repeat(np.arange(len(starts)), blocks)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = starts[of] + nth * BLOCK
+    size = np.minimum(lengths[of] - nth * BLOCK, BLOCK)
+    run_along(odds, emit, at[nth == 0], size[nth == 0], move)
+    later = at[nth > 0]
+    if len(later):
+        inner = (nth > 0) & (size == BLOCK)
+        order = np.argsort(nth[inner], kind="stable")
+        ranks, whole = nth[inner][order], at[inner][order]
+        scores = transfers(emit, whole, move)
+        cuts = np.searchsorted(ranks, np.arange(1, blocks.max() + 1))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            odds[whole[lo:hi] + BLOCK - 1] = passed(odds[whole[lo:hi] - 1], scores[:, :, lo:hi])
+        odds[later] = emit[later] + passed(odds[later - 1], move)
+        run_along(odds, emit, later, size[nth > 0], move)
+    return odds
 
 
 def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray,
@@ -55,24 +103,17 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     """Marginals of the tag 'toxic' per token; with weights also the sum of those of neighbouring tags.
 
     ``emit`` is the score of 'toxic' over 'clean' per token, ``move`` the 2 x 2 transition scores.
-    Messages are kept as log-odds of 'toxic', which needs one number per token.
+    Messages are kept as log-odds of 'toxic', which needs one number per token. Those from behind
+    are the forward ones of the reversed chains.
     """
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    live = [np.searchsorted(-lengths, -k, "left") for k in range(lengths[0] if len(lengths) else 0)]
-    passed = lambda odds, m: (np.logaddexp(m[0, 1], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[1, 0]))
-    ahead, back = np.array(emit), np.zeros(len(emit))
-    for k in range(1, len(live)):
-        at = starts[:live[k]] + k
-        ahead[at] += passed(ahead[at - 1], move)
-    for k in range(len(live) - 1, 0, -1):
-        at = starts[:live[k]] + k
-        back[at - 1] = passed(emit[at] + back[at], move.T)
+    emit = np.asarray(emit, float)
+    ahead = messages(emit, starts, lengths, move)
+    back = messages(emit[::-1], (len(emit) - starts - lengths)[::-1], lengths[::-1], move.T)[::-1] - emit
     marginal = 1 / (1 + np.exp(-np.clip(ahead + back, -500, 500)))
     pairs = np.zeros((2, 2))
-    if weight is not None and len(live) > 1:
-        inner = np.ones(len(emit), bool)
-        inner[starts] = False
+    inner = np.ones(len(emit), bool)
+    inner[starts] = False
+    if weight is not None and inner.any():
         at = np.flatnonzero(inner)
         left, right = ahead[at - 1], emit[at] + back[at]
         logs = np.stack([np.full(len(at), move[0, 0]), right + move[0, 1], left + move[1, 0], left + right + move[1, 1]])

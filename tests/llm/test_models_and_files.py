@@ -28,6 +28,33 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(sums[:, 1] / sums.sum(1), marginal[start:start + n])
 
 
+def test_long_chains_are_not_cut():
+    """Marginals and pair sums of chains of any length equal those of a plain walk over 2 x 2 sums."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 64, 65, 700, 3, 128, 129])
+    starts = np.cumsum(lengths) - lengths
+    emit, move = 2 * rng.normal(size=lengths.sum()), rng.normal(size=(2, 2))
+    marginal, pairs = toxicity.forward_backward(emit, starts, lengths, move, np.ones(len(emit)))
+    step, want_pairs = np.exp(move), np.zeros((2, 2))
+    for start, n in zip(starts, lengths, strict=True):
+        score = np.stack([np.ones(n), np.exp(emit[start:start + n])], 1)
+        ahead, back = score.copy(), np.ones((n, 2))
+        for k in range(1, n):
+            ahead[k] *= ahead[k - 1] @ step
+            ahead[k] /= ahead[k].sum()
+        for k in range(n - 1, 0, -1):
+            back[k - 1] = step @ (score[k] * back[k])
+            back[k - 1] /= back[k - 1].sum()
+        both = ahead * back
+        assert np.allclose(both[:, 1] / both.sum(1), marginal[start:start + n])
+        for k in range(1, n):
+            joint = ahead[k - 1][:, None] * step * (score[k] * back[k])[None, :]
+            want_pairs += joint / joint.sum()
+    assert np.allclose(pairs, want_pairs)
+    ids, ends = np.zeros(5000, int), np.zeros(5000, bool)
+    assert [x.tolist() for x in toxicity.chained(ids, ends)] == [[0], [5000]]
+
+
 def test_held_out_toxic_documents_are_found(spark, documents):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
