@@ -424,7 +424,8 @@ reports AS (
   FROM years WHERE primaryid IN (SELECT primaryid FROM ids)),
 drugs AS (
   SELECT primaryid, try_cast(drug_seq AS INTEGER) AS drug_seq, role_cod, drugname, prod_ai, route,
-    try_cast(dose_amt AS DOUBLE) AS dose_amt, dose_unit, active_ingredient IS NOT NULL AS is_glp1
+    try_cast(dose_amt AS DOUBLE) AS dose_amt, dose_unit, active_ingredient IS NOT NULL AS is_glp1,
+    active_ingredient
   FROM member WHERE primaryid IN (SELECT primaryid FROM ids)),
 reactions AS (
   SELECT * FROM reac WHERE pt IS NOT NULL AND primaryid IN (SELECT primaryid FROM ids)),

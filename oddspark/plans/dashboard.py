@@ -133,6 +133,22 @@ def drug_distribution(drugs: DataFrame, n: int = 20) -> DataFrame:
     return take_top(counted, "n_reports", n, "drugname")
 
 
+def ingredient_distribution(drugs: DataFrame, n: int = 20) -> DataFrame:
+    """Mentions and distinct reports of the class's ingredients, whatever names they were reported by.
+
+    Rows are first reduced to one per ingredient and report, so no ingredient's reports meet in one task.
+    """
+    per_report = (
+        drugs.filter(F.col("active_ingredient").isNotNull())
+        .groupBy("active_ingredient", "primaryid")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counted = per_report.groupBy("active_ingredient").agg(
+        F.sum("n").alias("n_mentions"), F.count(F.lit(1)).alias("n_reports")
+    )
+    return take_top(counted, "n_mentions", n, "active_ingredient")
+
+
 def demographics(reports: DataFrame) -> DataFrame:
     """Reports per age band and sex."""
     return (
