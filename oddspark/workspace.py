@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A session in local mode without that setting gets a fresh local folder; on a cluster the
-    setting is required, because a machine-local folder would not be seen by other machines.
+    A session in local mode without that setting gets a fresh local folder; on a cluster, a
+    ``local-cluster`` included, the setting is required, because a machine-local folder would not be seen by other machines.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="oddspark-")
     if not context.getCheckpointDir():

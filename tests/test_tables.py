@@ -1,10 +1,12 @@
 import datetime
 import json
+from types import SimpleNamespace
 
 import pytest
 
 from oddspark import schemas
 from oddspark.sources import fixtures, tables
+from oddspark.workspace import shared_folder
 
 
 def test_append_and_overwrite(spark, tmp_path, rows):
@@ -71,3 +73,11 @@ def test_fixtures(spark, tmp_path):
     tables.json_report_sink(known, path)
     again = fixtures.load_fixture(spark, path, schemas.KNOWN_SIGNALS)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, known.collect()))
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:7077", "yarn"])
+def test_a_cluster_needs_a_shared_folder(master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(RuntimeError):
+        shared_folder(session)
