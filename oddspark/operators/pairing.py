@@ -18,40 +18,40 @@ def join_within(
 ) -> DataFrame:
     """Inner equi-join of two many-rows-per-key tables.
 
-    A key with m left and n right rows gives m x n results. Its rows are dealt by hash into a
-    grid of about (m / cell_rows) x (n / cell_rows) cells, and the join runs on key and cell. So
-    a large key spreads over as many tasks as it has cells; a key below ``cell_rows`` is one
-    cell, with no copies. Keys found on one side only leave before the deal.
+    A key with m left and n right rows gives m x n results. Keys with at most ``cell_rows`` rows a
+    side are joined directly, on the key alone. The rows of a larger key are dealt by hash into a
+    grid of about (m / cell_rows) x (n / cell_rows) cells, and the join runs on key and cell, so
+    that it spreads over as many tasks as it has cells. The table of large keys has at most one row
+    per ``cell_rows`` input rows; where there are none, that half of the plan ends at run time.
 
-    ``per_key`` holds one row for each key to keep. It travels with the cell counts and adds its
-    columns to the result, which spares the two sides a join with it.
+    ``per_key`` holds one row for each key to keep; its columns are added to the result.
     """
-    cells = _cells_per_key(left, right, key, cell_rows)
-    carried: list[str] = []
+    cells = _cells_of_large_keys(left, right, key, cell_rows)
+    small = left.join(cells.select(*key), key, "left_anti")
+    large = cells
     if per_key is not None:
-        carried = [c for c in per_key.columns if c not in key]
-        cells = cells.join(per_key, key)
+        small, large = small.join(per_key, key), cells.join(per_key, key)
+    direct = small.join(right, key)
     dealt_left = (
-        left.join(cells, key)
+        left.join(large, key)
         .withColumn("_left_cell", _deal(left_item, "_left_cells"))
         .withColumn("_right_cell", _each("_right_cells"))
         .drop("_left_cells", "_right_cells")
     )
     dealt_right = (
-        right.join(cells.drop(*carried), key)
+        right.join(cells, key)
         .withColumn("_right_cell", _deal(right_item, "_right_cells"))
         .withColumn("_left_cell", _each("_left_cells"))
         .drop("_left_cells", "_right_cells")
     )
-    return dealt_left.join(dealt_right, [*key, "_left_cell", "_right_cell"]).drop(
-        "_left_cell", "_right_cell"
-    )
+    dealt = dealt_left.join(dealt_right, [*key, "_left_cell", "_right_cell"])
+    return direct.unionByName(dealt.drop("_left_cell", "_right_cell"))
 
 
-def _cells_per_key(
+def _cells_of_large_keys(
     left: DataFrame, right: DataFrame, key: list[str], cell_rows: int
 ) -> DataFrame:
-    """Cells per side for every key found on both sides, from one count over both."""
+    """Cells per side for every key found on both sides that needs more than one, from one count over both."""
     def rows(df: DataFrame, n_left: int, n_right: int) -> DataFrame:
         return df.select(*key, F.lit(n_left).alias("n_left"), F.lit(n_right).alias("n_right"))
 
@@ -64,7 +64,7 @@ def _cells_per_key(
         .groupBy(*key)
         .agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
     )
-    return sizes.filter("n_left > 0 and n_right > 0").select(
+    return sizes.filter(f"n_left > 0 and n_right > 0 and greatest(n_left, n_right) > {cell_rows:d}").select(
         *key, cells("n_left").alias("_left_cells"), cells("n_right").alias("_right_cells")
     )
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from oddspark.operators.dedupe import dedupe_latest_version, report_events
+from oddspark.operators.dedupe import dedupe_latest_version, report_events, valid_reports
 from oddspark.operators.pairing import join_within
 from oddspark.operators.ranking import forest_rows, rank_by_ic, top_n, top_n_per
 from oddspark.operators.upsert import insert_ignore, upsert_by_key
@@ -36,6 +36,23 @@ def test_latest_version_reduces_before_the_shuffle(spark):
     assert latest.first()["primaryid"] == 99999
 
 
+def test_version_and_id_travel_as_one_number(spark):
+    low, high = -(2**63), 2**63 - 1
+    demo = spark.createDataFrame([
+        (high, 1, 2**31 - 1, "2024Q1", ""), (low, 1, None, "2024Q1", ""),
+        (low, 2, -(2**31), "2024Q1", ""), (None, 2, -(2**31), "2024Q1", ""),
+        (None, 3, None, "2024Q1", ""), (0, 4, 0, "2024Q1", ""), (-1, 4, 0, "2024Q1", ""),
+        (5, 5, -1, "2024Q1", ""), (9, 5, -2, "2024Q1", ""), (high, 6, None, None, ""), (5, None, 1, None, ""),
+    ], DEMO)
+    narrow = demo.drop("sex")
+    found = dedupe_latest_version(narrow).collect()
+    assert Counter(found) == Counter(dedupe_latest_version(demo).drop("sex").collect())
+    assert {case: (report, version) for report, case, version, _ in found} == {
+        1: (low, None), 2: (low, -(2**31)), 3: (None, None), 4: (0, 0), 5: (5, -1), 6: (high, None), None: (5, 1)}
+    plan = valid_reports(demo)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "partial_max" in plan
+
+
 def _brute(left, right):
     return Counter((k, a, b) for k, a in left for k2, b in right if k == k2)
 
@@ -51,6 +68,18 @@ def test_join_within_equals_the_plain_join(spark):
         assert found == _brute(left, right)
 
 
+def test_join_within_mixes_small_and_large_keys_null_keys_and_kept_ones(spark):
+    left = [(k, f"d{i}") for k in (1, 2, 3, 4, None) for i in range(9 if k == 2 else 2)]
+    right = [(k, f"e{i}") for k in (1, 2, 3, 5, None) for i in range(8 if k == 3 else 2)]
+    l = spark.createDataFrame(left, "k long, a string")
+    r = spark.createDataFrame(right, "k long, b string")
+    kept = spark.createDataFrame([(2, "x"), (3, "y"), (5, "z")], "k long, q string")
+    found = join_within(l, r, ["k"], "a", "b", 4, per_key=kept).select("k", "a", "b", "q").collect()
+    names = {2: "x", 3: "y"}
+    assert Counter(map(tuple, found)) == Counter(
+        (k, a, b, names[k]) for (k, a, b) in _brute(left, right).elements() if k in names)
+
+
 def test_join_within_spreads_one_large_key(spark):
     left = spark.range(600).select(F.lit(7).alias("k"), F.col("id").cast("string").alias("a"))
     right = spark.range(500).select(F.lit(7).alias("k"), F.col("id").cast("string").alias("b"))
