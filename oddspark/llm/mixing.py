@@ -8,8 +8,12 @@ from oddspark.llm.shared import Work, free_name, numbered, same
 #: Words of a block. Every block costs the same nothing, as no block becomes a row; small ones
 #: bring each source closer to its target.
 BLOCK_WORDS = 8
-#: Words of a shard, about. A source of any size is split into so many more shards.
+#: Words and rows of a shard, about. A source of any size is split into so many more shards.
 SHARD_WORDS = 500_000
+SHARD_ROWS = 200_000
+#: Words and rows of equal rows that lie in one place; more of them are dealt anew.
+PIECE_WORDS = 50_000
+PIECE_ROWS = 10_000
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
@@ -80,8 +84,31 @@ def apportioned(work: Work, df: DataFrame, name: str, group: list[str], key: lis
             .drop("seats", "reach", "short", "parties", "met").withColumnRenamed("won", "seats"))
 
 
+def placed_pieces(work: Work, sized: DataFrame, seed: str, piece_words: int, piece_rows: int) -> DataFrame:
+    """Equal rows of ``sized`` as pieces of ``n`` rows, each with its place, hexadecimal digits of a seeded hash.
+
+    A row that has its doc_id alone lies where its doc_id says. Rows that share one, or have none, lie where
+    their content and the piece say, so that no doc_id and no repeated row fills a shard.
+    """
+    equal = sized.groupBy("doc_id", "source", "row_hash", "size").agg(F.count("*").alias("rows"))
+    equal = work.store(equal, "equal-rows")
+    shared = work.store(equal.groupBy("doc_id").agg(F.count("*").alias("texts"), F.sum("rows").alias("all"))
+                        .where("all > 1").select("doc_id", "texts"), "shared-ids")
+    most = F.greatest(F.lit(1), F.least(F.lit(piece_rows), F.expr(f"{piece_words:d} div greatest(size, 1)")))
+    pieces = (equal.withColumn("most", most.cast("long"))
+              .withColumn("piece", F.explode(F.expr("sequence(0, (rows - 1) div most)")))
+              .withColumn("n", F.least("most", F.col("rows") - F.col("piece") * F.col("most"))))
+    name = F.coalesce(F.col("p.doc_id").cast("string"), F.lit("null"))
+    alone = F.col("i.texts").isNull()
+    place = F.md5(F.when(alone, F.concat_ws(":", F.lit(seed), name)).otherwise(
+        F.concat_ws(":", F.lit(seed), name, "p.row_hash", "p.piece")))
+    return pieces.alias("p").join(shared.alias("i"), same("p", "i", "doc_id"), "left").select(
+        "p.doc_id", "p.source", "p.row_hash", "p.size", "p.piece", "p.n", place.alias("place"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS,
-                block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
+                block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS,
+                piece_words: int = PIECE_WORDS, piece_rows: int = PIECE_ROWS,
                 seed: str = "mix", work: Work | None = None) -> DataFrame:
     """Per document (doc_id, text, source) its words, its source's, the target, and the words taken.
 
@@ -92,30 +119,32 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int
     times, and the ones at the ends in part.
 
     No word is taken more than ``most`` times. Null texts have no words; documents without words
-    are returned with nothing taken. Repeated rows are laid out one after the other. Ties in the
-    seeded order go by doc_id and size. An empty table gives an empty one; other columns are not
-    read.
+    are returned with nothing taken; many of them make shards too. Repeated rows are laid out one
+    after the other, in pieces that are dealt to the shards, as are rows that share a doc_id or have
+    none. Ties in the seeded order go by doc_id, size, content and piece. Texts of any length
+    count whole; one text is never split over shards. An empty table gives an empty one; other
+    columns are not read.
     """
     work = work or Work(docs.sparkSession, "mix")
     text = F.coalesce(docs["text"], F.lit(""))
     sized = work.store(docs.select(
         "doc_id", "source", F.xxhash64("text", "source").alias("row_hash"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")), "sized")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sources = work.store(with_targets(work, per_source, weights, share, most), "targets")
     blocks = sources.agg(F.floor(F.sum("target") / block_words + 0.5)).first()[0]
     sources = apportioned(
         work, sources.withColumn("ideal", F.col("target") / block_words)
         .withColumn("total", F.lit(int(blocks or 0))), "sources", [], ["party"], "ideal", "total").select(
         "source", "party", "source_size", "target", F.col("seats").alias("quota"),
-        F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).alias("shards"))
+        F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("rows") / shard_rows), F.lit(1)).alias("shards"))
     sources = work.store(sources, "quotas")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("null"))))
-    dealt = (sized.alias("d").join(sources.alias("s"), same("d", "s", "source"))
-             .select("d.*", "s.party", "s.source_size", "s.target", "s.quota", key.alias("place"), "shards")
+    pieces = placed_pieces(work, sized, seed, piece_words, piece_rows)
+    dealt = (pieces.alias("d").join(sources.alias("s"), same("d", "s", "source"))
+             .select("d.*", "s.party", "s.source_size", "s.target", "s.quota", "shards")
              .withColumn("shard", F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % F.col("shards")))
     shards = dealt.groupBy("party", "shard").agg(
-        F.sum("size").alias("shard_size"), F.max("quota").alias("quota"),
+        F.sum(F.col("size") * F.col("n")).alias("shard_size"), F.max("quota").alias("quota"),
         F.max("source_size").alias("all"))
     shards = apportioned(
         work, shards.withColumn("ideal", F.coalesce(
@@ -126,8 +155,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int
     shards = work.store(shards.select(
         "party", "shard", "shard_size", begin.alias("begin"),
         F.least(F.col("seats") * block, most * size).alias("words")), "shards")
-    around = Window.partitionBy("party", "shard").orderBy("place", "doc_id", "size")
-    laid = (dealt.withColumn("stop", F.sum("size").over(around.rowsBetween(Window.unboundedPreceding, 0)))
+    around = Window.partitionBy("party", "shard").orderBy("place", "doc_id", "size", "row_hash", "piece")
+    filled = F.sum(F.col("size") * F.col("n")).over(around.rowsBetween(Window.unboundedPreceding, 0))
+    laid = (dealt.withColumn("filled", filled)
+            .withColumn("left", F.explode(F.sequence(F.col("n") - 1, F.lit(0).cast("long"), F.lit(-1).cast("long"))))
+            .withColumn("stop", F.col("filled") - F.col("left") * F.col("size"))
             .withColumn("start", F.col("stop") - F.col("size")))
     both = laid.join(shards, ["party", "shard"], "left")
     rest = F.col("words") % F.nullif("shard_size", F.lit(0))

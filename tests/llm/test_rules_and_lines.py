@@ -121,6 +121,29 @@ def test_taken_words_come_near_the_targets(documents, sizes):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_no_id_and_no_repeated_row_fills_a_shard(documents):
+    rows = [(7, f"{k} " + "w " * 9, "en", "one id") for k in range(600)]
+    rows += [(None, f"{k} " + "w " * 9, "en", "no id") for k in range(600)]
+    rows += [(8, "w " * 10, "en", "one row")] * 640 + [(k, "", "en", "no words") for k in range(600)]
+    docs = documents(rows)
+    work = mixing.Work(docs.sparkSession, "mix")
+    small = dict(shard_words=500, shard_rows=50, piece_words=50, piece_rows=10)
+    got = mixing.mix_sources(docs, work=work, **small).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    again = mixing.mix_sources(docs.repartition(5), **small).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    total = Counter()
+    for r in got:
+        total[r.target, r.source_size] += r.taken
+    assert len(total) == 4
+    for (target, _), taken in total.items():
+        assert abs(taken - target) <= 3 * mixing.BLOCK_WORDS
+    shards = docs.sparkSession.read.parquet(f"{work.path}/shards").collect()
+    assert max(s.shard_size for s in shards) < 6000 / 4
+    for party in range(4):
+        assert sum(s.party == party for s in shards) >= 9
+
+
 def test_mixed_documents_repeat_whole_rows(documents):
     docs = documents([(k, "w " * 20, "en", "a" if k < 5 else "b") for k in range(100)])
     mixed = mixing.mixed_documents(docs)
