@@ -79,7 +79,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
 
     A null text stays null, with no lines; an empty one has one line. Rows equal in doc_id and text
     count as one document and get the same result. Existing columns n_lines and n_removed keep
-    their names, the new ones get an underscore in front. An empty table gives an empty one.
+    their names, the new ones get an underscore in front. Texts of any length are cut whole. An empty
+    table gives an empty one.
     """
     return without(docs, removed_chunks(docs, window, one_in, Work(docs.sparkSession, "lines")))
 

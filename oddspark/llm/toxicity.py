@@ -317,7 +317,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 
     Null and empty texts score 0, as do all without labelled documents of both kinds. Texts of any
     length are tagged whole, sentence by sentence. Repeated rows are scored each; a document with
-    several labels is toxic if one says so. Columns other than doc_id and text are not read.
+    several labels is toxic if one says so. An empty table gives an empty one. Columns other than
+    doc_id and text are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     scored = score_texts(docs.select("doc_id", "text"), model, spans)

@@ -213,7 +213,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A null or empty url scores 0 and is judged by that. Scores at the threshold are allowed. Long
     urls count in full, repeated rows as often as they occur. Without labelled urls all scores are 0
-    and are allowed. Other columns are not read.
+    and are allowed. An empty table gives an empty one. Other columns are not read.
     """
     work = Work(pages.sparkSession, "urls")
     rows = ruled(pages.select("page_id", "url"), rules).withColumn("fold", F.crc32(F.col("url").cast("binary")) % 4)

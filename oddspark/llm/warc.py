@@ -352,7 +352,8 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     Of equal payloads of ``least`` bytes or more, the page with the largest id is the response.
     Null html is an empty payload, a null url is left out of the header. Rows that repeat a page id
     with its payload are responses each; a null id refers to the largest, and is a response if all
-    are null. Html moves once, to meet its group; an empty table gives an empty archive.
+    are null. Html of any length is one record, held whole by its task; it moves once, to meet its group.
+    An empty table gives an empty archive. Other columns are not read.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     ready = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
