@@ -85,12 +85,16 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) ->
     return without(docs, removed_chunks(docs, window, one_in, Work(docs.sparkSession, "lines")))
 
 
-def window_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, first, hash, chunk) for every two adjacent lines with content."""
+def window_rows(docs: DataFrame, known: str | None = None) -> DataFrame:
+    """(doc_id, row_hash, first, hash, chunk) for every two adjacent lines with content; not those within a chunk that
+    the column ``known`` lists as (first, n)."""
     def pairs(lines):
-        return F.when(F.size(lines) >= 2, F.transform(
-            F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.struct(
-                i.alias("first"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("chunk"))))
+        firsts = F.sequence(F.lit(0), F.size(lines) - 2)
+        if known:
+            within = F.flatten(F.transform(known, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 2)))
+            firsts = F.when(F.col(known).isNull(), firsts).otherwise(F.array_except(firsts, within))
+        return F.when(F.size(lines) >= 2, F.transform(firsts, lambda i: F.struct(
+            i.alias("first"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("chunk"))))
 
     rows = docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("row_hash"), F.explode(let(F.split("text", "\n"), pairs)).alias("c"))
@@ -98,14 +102,15 @@ def window_rows(docs: DataFrame) -> DataFrame:
             .withColumn("hash", F.xxhash64("chunk")))
 
 
-def repeated_passages(docs: DataFrame, work: Work) -> DataFrame:
+def repeated_passages(docs: DataFrame, work: Work, known: str | None = None) -> DataFrame:
     """(doc_id, row_hash, gone): the runs of lines of each text, as (first, n), that repeat earlier ones.
 
     Two-line windows are posted by hash; those with an earlier copy, byte for byte, that they don't
-    overlap join to maximal runs.
+    overlap join to maximal runs. Chunks in the column ``known`` repeat: the windows within them aren't
+    looked at, and the others find all they would, as the first place of a window is in no such chunk.
     """
     where = F.struct("doc_id", "row_hash", "first")
-    posted = window_rows(docs)
+    posted = window_rows(docs, known)
     often = (posted.groupBy("hash").agg(F.min(where).alias("a"), F.max(where).alias("z"))
              .where("not a <=> z").select("hash"))
     often = work.store(often, "repeated-hashes")
@@ -139,11 +144,15 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     return without(docs, repeated_passages(docs, Work(docs.sparkSession, "passages")))
 
 
+def gone_from(docs: str, gone: str) -> Column:
+    """Whether a row of the alias ``gone`` is of this row's doc_id and text."""
+    return (F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{gone}.doc_id"))
+            & (F.xxhash64(f"{docs}.text") == F.col(f"{gone}.row_hash")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the lines of ``gone``; adds n_lines and n_removed."""
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    on = (F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
-          & (F.xxhash64("d.text") == F.col("g.row_hash")))
     gone_lines = F.flatten(F.transform("g.gone", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
     kept = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(let(
         F.split("d.text", "\n"), lambda lines: F.array_join(F.transform(
@@ -151,16 +160,42 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
             lambda i: F.get(lines, i)), "\n")))
     lines = F.when(F.col("d.text").isNull(), 0).otherwise(
         F.length("d.text") - F.length(F.translate("d.text", "\n", "")) + 1)
-    return docs.alias("d").join(gone.alias("g").hint("merge"), on, "left").select(
+    return docs.alias("d").join(gone.alias("g").hint("merge"), gone_from("d", "g"), "left").select(
         *[kept.alias(c) if c.lower() == "text" else F.col(f"d.`{c}`") for c in docs.columns],
         lines.cast("long").alias(n_lines),
         F.coalesce(F.aggregate("g.gone", F.lit(0), lambda s, c: s + c["n"]), F.lit(0))
         .cast("long").alias(n_removed))
 
 
+def found_by_both(docs: DataFrame, window: int, one_in: int, work: Work) -> DataFrame:
+    """(doc_id, row_hash, gone): the chunks of each text that repeat, then the passages that chunk boundaries cut.
+
+    Places are those in the whole text for both, so runs of the two may overlap by a line.
+    """
+    chunks = removed_chunks(docs, window, one_in, work)
+    texts = docs.select("doc_id", "text").alias("d").join(
+        chunks.alias("g").hint("merge"), gone_from("d", "g"), "left").select("d.doc_id", "d.text", "g.gone")
+    rest = repeated_passages(texts, Work(work.spark, "passages"), "gone")
+    runs = chunks.unionByName(rest.select("doc_id", "row_hash", F.col("gone").cast(chunks.schema["gone"].dataType)))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform(
+        F.flatten(F.collect_list("gone")), lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))))
+    return runs.groupBy("doc_id", "row_hash").agg(
+        F.transform(lines, lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("gone"))
+
+
+def dedup_chunks_and_passages(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
+    """``docs`` without repeated chunks, as ``dedup_lines``, nor the passages that the cuts of chunks miss.
+
+    The content-defined chunks of ``dedup_lines`` go first. What their boundaries cut, a passage whose ends lie within
+    chunks, is found by the windows of ``dedup_passages`` outside of those chunks. Both
+    judge the whole text. Columns, nulls and equal rows as in ``dedup_lines``.
+    """
+    return without(docs, found_by_both(docs, window, one_in, Work(docs.sparkSession, "lines")))
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns: texts without repeated passages, n_chars counted anew if there."""
-    done = dedup_passages(docs)
+    """``docs`` with the same columns: texts without repeated chunks and passages, n_chars counted anew if there."""
+    done = dedup_chunks_and_passages(docs)
     return done.select(*[
         F.length("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`")
         for c in docs.columns])

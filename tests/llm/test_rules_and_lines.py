@@ -96,6 +96,22 @@ def test_passages_go_wherever_they_begin(documents):
     assert lines.dedup_passages(documents([])).count() == 0
 
 
+def test_the_pipelines_lines_go_by_chunks_first_then_by_what_their_boundaries_cut(documents, monkeypatch):
+    rng = random.Random(8)
+    body = [f"line {k}" for k in range(40)]
+    table = [(1, "\n".join(body)), (2, "\n".join(["own", *body, "end"]))]
+    table += [(k, "\n".join([f"a {k}", *body[k:k + rng.randrange(2, 20)], f"z {k}"])) for k in range(3, 30)]
+    docs, windows, posted = documents(table), [], lines.window_rows
+    chunked = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
+    monkeypatch.setattr(lines, "window_rows", lambda d, known: windows.append(d) or posted(d, known))
+    got = {r.doc_id: r.text for r in lines.cleaned(docs).collect()}
+    assert got == {k: t for k, (t, _) in passages_by_hand(table).items()}
+    by_chunks = {r.doc_id: sum(c["n"] for c in r.gone or []) for r in windows[0].collect()}
+    assert by_chunks == chunked and sum(chunked.values()) > 60
+    left = {k: n - got[k].count("\n") - 1 for k, n in ((k, t.count("\n") + 1) for k, t in table)}
+    assert sum(left.values()) > sum(chunked.values())
+
+
 def test_new_columns_give_way(documents):
     docs = documents([(1, "a\nb")]).withColumnRenamed("key", "n_lines")
     assert lines.dedup_lines(docs).columns[-2:] == ["_n_lines", "n_removed"]
