@@ -159,10 +159,23 @@ class Coder:
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
+@functools.cache
+def coder_of(path: str, stamp: int, quick: bool) -> list[Coder]:
+    """Where a worker keeps the coder of a file as of ``stamp``: building it takes longer than a small task's texts."""
+    return []
+
+
+def coder_in_worker(path: str, ranks: dict[bytes, int] | None) -> Coder:
+    kept = coder_of(path, os.stat(path).st_mtime_ns, bool(ranks))
+    if not kept:
+        kept.append(Coder(path, ranks))
+    return kept[0]
+
+
 def cut(path: str, capacity: int, end: int, ranks: dict[bytes, int] | None = None):
     """Batches of (doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32, ids."""
     def run(batches):
-        coder = Coder(path, ranks)
+        coder = coder_in_worker(path, ranks)
         for large in batches:
             for lo in range(0, large.num_rows, 4000):
                 batch = large.slice(lo, 4000)

@@ -318,3 +318,13 @@ def test_both_coders_give_the_same_ids(tmp_path):
     full["normalizer"] = {"type": "NFC"}
     (tmp_path / "n.json").write_text(json.dumps(full))
     assert packing.byte_ranks(str(tmp_path / "n.json")) is None
+
+
+def test_a_worker_builds_its_coder_once(monkeypatch, tmp_path):
+    made, path = [], str(tmp_path / "tokenizer.json")
+    (tmp_path / "tokenizer.json").write_bytes(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    build = packing.Coder
+    monkeypatch.setattr(packing, "Coder", lambda *a: made.append(a) or build(*a))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    tasks = [list(packing.cut(path, packing.CAPACITY, packing.END)(iter([batch]))) for _ in range(3)]
+    assert len(made) == 1 and all(t[0].equals(tasks[0][0]) for t in tasks)
