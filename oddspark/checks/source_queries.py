@@ -76,7 +76,7 @@ def _write_detail(star):
     root = new_folder(star.spark, "detail")
     tables.write_parquet(star.demo, f"{root}/demo")
     for name in ("drug", "reac", "outc", "indi"):
-        tables.write_parquet(star.with_quarter(getattr(star, name)), f"{root}/{name}")
+        tables.write_parquet(star.with_quarter(name), f"{root}/{name}")
     return root
 
 
@@ -103,8 +103,8 @@ JOIN demo USING (primaryid) GROUP BY ALL""")
 def _(star):
     profile = delimited.profile_source({
         "demo": star.demo,
-        "outc": star.with_quarter(star.outc),
-        "indi": star.with_quarter(star.indi),
+        "outc": star.with_quarter("outc"),
+        "indi": star.with_quarter("indi"),
     })
     return profile.withColumn("first_columns", joined("first_columns"))
 
