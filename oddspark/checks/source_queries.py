@@ -7,7 +7,6 @@ from oddspark.checks.registry import joined, query
 from oddspark.checks.star import STAR_CLASS
 from oddspark.operators.dedupe import report_drugs, valid_reports
 from oddspark.operators.upsert import insert_ignore, upsert_by_key
-from oddspark.plans.cohort import write_cohort
 from oddspark.plans.background import drug_totals, quarter_totals
 from oddspark.plans.signals import precomputed_or_live, scan_signals
 from oddspark.sources import delimited, fixtures, tables
@@ -251,10 +250,7 @@ SELECT 'reactions', count(*), count(*), 'OK' FROM reactions UNION ALL
 SELECT 'outcomes', 0, 0, 'SKIPPED' UNION ALL
 SELECT 'glp1_signals', count(*), count(*), 'OK' FROM signals""")
 def _(star):
-    cohort = write_cohort(
-        star.demo, star.drug, star.reac, star.outc, star.indi, star.dictionary,
-        new_folder(star.spark, "cohort"),
-    )
+    cohort = star.write_cohort(new_folder(star.spark, "cohort"))
     return tables.publish_reconciled(
         {
             "reports": cohort.reports,
