@@ -26,7 +26,8 @@ def one_per_key(
 def _by_key(df: DataFrame, others: DataFrame, key: list[str], how: str) -> DataFrame:
     keys = others.select(*[F.col(c).alias(f"_other{i}") for i, c in enumerate(key)])
     found = [F.col(c).eqNullSafe(F.col(f"_other{i}")) for i, c in enumerate(key)]
-    return df.join(keys, reduce(Column.__and__, found), how)
+    # Both sides may be large whatever their files' size says: keys of loads compress to a small part of it.
+    return df.join(keys.hint("merge"), reduce(Column.__and__, found), how)
 
 
 def without_keys(df: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
