@@ -56,7 +56,7 @@ def test_stored_counts_equal_the_plan_with_repeated_reports(spark, tmp_path, row
     again = B.write_background(demo, drug, reac, str(tmp_path / "c"), valid=valid)
     for table in B.TABLES:
         assert rows(getattr(again, table)) == rows(getattr(got, table)), table
-    assert valid.count() == 5
+    assert valid.count() == 6
 
 
 def test_margins_and_keys_meet_by_merge(spark):
